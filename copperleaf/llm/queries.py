@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.llm import topn, visual
+from copperleaf.llm import bpe, packing, topn, visual
 from copperleaf.session import table
 
+#: Tokens of a training sequence.
+CAPACITY = 2_048
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_documents(table(spark, sf_dir, "candidate_pairs")).select("item_id", "document_id")
@@ -36,10 +39,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.look_alike_pairs(_read_values(spark, sf_dir))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", ids=False)
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir), CAPACITY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
 }
 
 _BEST = """
