@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.llm import bpe, packing, topn, visual
+from copperleaf.llm import bpe, packing, spans, topn, visual
 from copperleaf.session import table
 
 #: Tokens of a training sequence.
@@ -22,6 +22,30 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_documents(table(spark, sf_dir, "candidate_pairs"))
 
 
+_SPAN_FIELDS = ["documents.text", "evidence.match_context"]
+
+
+def _span_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.lit(0).alias("f"), F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    evidence = table(spark, sf_dir, "evidence").select(F.lit(1).alias("f"), F.col("evidence_id").alias("key"), F.col("match_context").alias("value"))
+    return documents.unionByName(evidence)
+
+
+def _field_name(f: str = "f"):
+    return F.element_at(F.array(*map(F.lit, _SPAN_FIELDS)), F.col(f) + 1).alias("field_name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_pairs(_span_records(spark, sf_dir)).select(_field_name(), "key_a", "key_b")
+
+
+def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record is shared, beside what the earlier scan says of evidence rows."""
+    share = spans.shared_share(_span_records(spark, sf_dir))
+    scan = table(spark, sf_dir, "evidence").select(F.lit(1).alias("f"), F.col("evidence_id").alias("key"), "ngram_coverage", "matched_ngrams").dropDuplicates(["key"])
+    return share.join(scan, ["f", "key"], "left").select(_field_name(), "key", "n_chars", "shared_chars", "shared_share", "ngram_coverage", "matched_ngrams")
+
+
 def _read_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         ("documents", "doc_id", "text", "documents.text"),
@@ -59,6 +83,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
+    "p4_found": p4_found,
+    "p4_share": p4_share,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
