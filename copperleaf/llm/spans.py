@@ -257,10 +257,9 @@ def sharing_pairs(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(f, key_a, key_b), key_a < key_b: records with a common span; copies are expanded, as the result is pairs of records."""
     spans, copies = shared_spans(records, min_chars)
     reps = spans.select("f", "a", "b").distinct()
-    left = copies.select("f", F.col("rep").alias("a"), F.col("key").alias("x"))
-    right = copies.select("f", F.col("rep").alias("b"), F.col("key").alias("y"))
+    left, right = copies.toDF("f", "x", "a"), copies.toDF("f", "y", "b")
     different = reps.join(left, ["f", "a"]).join(right, ["f", "b"])
-    equal = left.join(right.withColumnRenamed("b", "a"), ["f", "a"]).where("x < y")
+    equal = copies.toDF("f", "x", "a").join(copies.toDF("f", "y", "a"), ["f", "a"]).where("x < y")
     return different.select("f", "x", "y").unionByName(equal).select("f", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
