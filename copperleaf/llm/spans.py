@@ -259,7 +259,7 @@ def sharing_pairs(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     reps = spans.select("f", "a", "b").distinct()
     left, right = copies.toDF("f", "x", "a"), copies.toDF("f", "y", "b")
     different = reps.join(left, ["f", "a"]).join(right, ["f", "b"])
-    equal = copies.toDF("f", "x", "a").join(copies.toDF("f", "y", "a"), ["f", "a"]).where("x < y")
+    equal = copies.toDF("f", "x", "a").join(copies.toDF("f", "y", "a"), ["f", "a"]).where("x < y").select("f", "x", "y")
     return different.select("f", "x", "y").unionByName(equal).select("f", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
