@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.llm import bpe, packing, spans, topn, visual
+from copperleaf.llm import bpe, leaks, packing, spans, topn, visual
 from copperleaf.session import table
 
 #: Tokens of a training sequence.
@@ -22,6 +22,10 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_documents(table(spark, sf_dir, "candidate_pairs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "items"))
+
+
 _SPAN_FIELDS = ["documents.text", "evidence.match_context"]
 
 
@@ -83,6 +87,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_share": p4_share,
     "p5_found": p5_found,
