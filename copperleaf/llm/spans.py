@@ -1,14 +1,13 @@
 """Problem 4: long exact spans shared between records.
 
 Seed and extend. Each text is reduced to winnowed anchors: of every ``min_chars - k + 1`` neighbouring k-grams
-the one with the least hash (k a third of ``min_chars``), so two texts with a common span of ``min_chars``
+the one with the least hash (k two thirds of ``min_chars``), so two texts with a common span of ``min_chars``
 characters have an anchor of it in common. Records join on anchors, matches are extended both ways from their
 anchors, and maximal repeats of at least ``min_chars`` code points stay.
 
 Nothing is capped. Copies of a whole text are reduced to one of them before any pairing. An anchor that more
-than ``HOT`` texts have isn't paired; its neighbourhood decides: of a long enough span around it at least k more
-characters lie on one side, so it joins again on 2k-grams, and where these are common too, on whole
-``min_chars``-grams, where a group holds true pairs only.
+than ``HOT`` texts have isn't paired; the texts join again on the ``min_chars``-grams around it, of which a long
+enough span holds one, and where a group holds true pairs only.
 
 Results for odd input: null texts and texts shorter than ``min_chars`` share nothing; a repeated key of equal
 text is one record; spans are compared as stored, code point by code point; characters count as code points.
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copperleaf.session import materialize
+from copperleaf.session import discard, materialize
 
 MIN_CHARS = 150
 HOT = 64
@@ -79,9 +78,13 @@ def _sliding(a: np.ndarray, w: int, what: np.ufunc) -> np.ndarray:
     return what(a[: len(a) - (w - have)], a[w - have :]) if have < w else a
 
 
+def _gram(min_chars: int) -> int:
+    return max(1, 2 * min_chars // 3)
+
+
 def winnow(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, position, hash) of the anchors of all texts, each at least ``min_chars`` long."""
-    k = min_chars // 3
+    k = _gram(min_chars)
     w = min_chars - k + 1
     parts = [_points(t) for t in texts]
     size = np.array([len(p) for p in parts])
@@ -151,27 +154,19 @@ def _anchor_rows(min_chars: int):
     return run
 
 
-def _finer_rows(min_chars: int, level: int):
-    """Of texts with a list of hot hashes: the hashes of what surrounds those anchors."""
-    k = min_chars // 3
+def _finer_rows(min_chars: int):
+    """Of texts with a list of hot hashes: the min_chars-grams around those anchors."""
+    k = _gram(min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f, key, h = [], [], []
-            for i, row in enumerate(batch.to_pylist()):
+            for row in batch.to_pylist():
                 hot = np.array(sorted(set(row["hot"])), np.int64).view(np.uint64)
-                grams, n = Grams(_points(row["value"])), len(row["value"])
                 _, at, v = winnow([row["value"]], min_chars)
-                if level == 2:
-                    at = at[np.isin(v, hot)]
-                    at = np.concatenate([at[at + 2 * k <= n], at[at >= k] - k])  # to the right, to the left
-                    out = grams.hashes(2 * k, np.unique(at))
-                else:
-                    two = grams.hashes(2 * k)
-                    at = np.flatnonzero(np.isin(two, hot))
-                    at = np.unique((at[:, None] - np.arange(min_chars - 2 * k + 1)).ravel())
-                    out = grams.hashes(min_chars, at[(at >= 0) & (at + min_chars <= n)])
-                out = np.unique(out).view(np.int64)
+                at = np.unique((at[np.isin(v, hot)][:, None] - np.arange(min_chars - k + 1)).ravel())
+                at = at[(at >= 0) & (at + min_chars <= len(row["value"]))]
+                out = np.unique(Grams(_points(row["value"])).hashes(min_chars, at)).view(np.int64)
                 f += [row["f"]] * len(out)
                 key += [row["key"]] * len(out)
                 h.append(out)
@@ -225,8 +220,9 @@ def shared_spans(records: DataFrame, min_chars: int = MIN_CHARS, *, hot: int = H
     long = records.select(F.col("f").cast("int").alias("f"), F.col("key").cast("long").alias("key"), "value").where(
         F.char_length("value") >= min_chars
     )
-    rows = materialize(long.mapInArrow(_anchor_rows(min_chars), anchor), "anchors")
-    rows = materialize(_shared(rows.distinct()).select("f", "key", "h"), "shared")
+    anchors = materialize(long.mapInArrow(_anchor_rows(min_chars), anchor), "anchors")
+    rows = materialize(_shared(anchors).select("f", "key", "h").distinct(), "shared")
+    discard(anchors)
     involved = long.join(rows.select("f", "key").distinct(), ["f", "key"], "left_semi")
     involved = materialize(involved.mapInArrow(_digests, "f int, key long, value string, digest binary"), "involved")
     reps = involved.groupBy("f", "digest").agg(F.min("key").alias("rep"))
@@ -237,14 +233,11 @@ def shared_spans(records: DataFrame, min_chars: int = MIN_CHARS, *, hot: int = H
     rows = rows.join(copies.where("key = rep").select("f", "key").distinct(), ["f", "key"], "left_semi")
     groups = materialize(_shared(rows), "groups")
     pairs = _pairs(groups.where(F.col("n") <= hot))
-    for level in (2, 3):
-        warm = groups.where(F.col("n") > hot)
-        if warm.isEmpty():
-            break
+    warm = groups.where(F.col("n") > hot)
+    if not warm.isEmpty():
         lists = warm.groupBy("f", "key").agg(F.collect_set("h").alias("hot"))  # at most as many as the text has characters
-        finer = texts.join(lists, ["f", "key"]).mapInArrow(_finer_rows(min_chars, level), anchor)
-        groups = materialize(_shared(finer), "finer")
-        pairs = pairs.unionByName(_pairs(groups if level == 3 else groups.where(F.col("n") <= hot)))
+        finer = texts.join(lists, ["f", "key"]).mapInArrow(_finer_rows(min_chars), anchor)
+        pairs = pairs.unionByName(_pairs(materialize(_shared(finer), "finer")))
     pairs = pairs.distinct()
     a = texts.select("f", F.col("key").alias("key_a"), F.col("value").alias("value_a"))
     b = texts.select("f", F.col("key").alias("key_b"), F.col("value").alias("value_b"))
