@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.llm import bpe, leaks, packing, spans, topn, visual
+from copperleaf.llm import bpe, leaks, packing, spans, topn, toxic, visual
 from copperleaf.session import table
 
 #: Tokens of a training sequence.
@@ -84,6 +84,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), CAPACITY)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
@@ -94,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 _BEST = """
