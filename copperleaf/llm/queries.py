@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.llm import bpe, leaks, packing, spans, topn, toxic, visual
+from copperleaf.llm import bpe, cutoff, leaks, packing, spans, topn, toxic, visual
 from copperleaf.session import table
 
 #: Tokens of a training sequence.
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "items"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_generations(table(spark, sf_dir, "generations"), table(spark, sf_dir, "vocab_pieces"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_rates(table(spark, sf_dir, "generations"), table(spark, sf_dir, "vocab_pieces"))
+
+
 _SPAN_FIELDS = ["documents.text", "evidence.match_context"]
 
 
@@ -100,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_share": p4_share,
     "p5_found": p5_found,
