@@ -281,7 +281,8 @@ class Encoder:
         if len(self.words) > MOST_WORDS:
             self.forget()
         words = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(words)) - self.words.keys()
+        known = self.words
+        new = [w for w in set(chain.from_iterable(words)) if w not in known]
         if new:
             self.learn(sorted(new))
         n = [len(w) for w in words]
