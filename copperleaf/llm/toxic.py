@@ -1,10 +1,10 @@
 """Problem 8: abusive, hateful or sexually explicit text.
 
-Two Kneser-Ney word models, one of toxic and one of ordinary passages, share their lower orders: bigrams are
-discounted per class and back off to continuation counts pooled over both classes, those to a class for rare words.
-A passage scores the difference of its length-normalised log-likelihoods, a document the score of its worst
-passage. Labels are of documents, so the toxic passages of a labelled document are found by alternating: score
-its passages, keep the ones that stand out, fit again.
+Two Kneser-Ney bigram models, of documents labelled toxic and ordinary, share their lower order: continuation
+counts pooled over both classes. Labels are of documents, most of whose passages are ordinary, and some labels
+are wrong; so bigrams count by the documents that have them, and what a single toxic document has goes to the
+shared part: ordinary passages then have a ratio near 0. A passage scores the difference of its
+length-normalised log-likelihoods, a document the score of its worst passage.
 
 The fit uses a documented, bounded sample of labelled documents (``MOST_LABELLED``) and a vocabulary of at most
 ``MOST_WORDS`` words, so the model that is broadcast has a bounded size. Scoring covers every passage of every
@@ -32,11 +32,10 @@ MOST_WORDS = 50_000
 #: So many different words as they are written are remembered at a time.
 MOST_KNOWN = 300_000
 DISCOUNT = 0.75
-ROUNDS, FOLDS = 3, 5
-#: A passage is toxic from this score on: its mean log-likelihood ratio a bigram, and at most SELECT / EVIDENCE of the sum.
-THRESHOLD = 0.65
-#: While fitting, a passage of a document labelled toxic is kept from SELECT on.
-SELECT, EVIDENCE = 0.85, 9.0
+#: A passage is toxic from this score on.
+THRESHOLD = 0.7
+#: A score is a mean log-likelihood ratio a bigram, and at most this share of the sum, so that few words don't suffice.
+SUM_SHARE = 0.094
 #: One bigram counts no more than this, so a passage needs several.
 CLIP = 3.5
 #: Passages are no longer than so many words.
@@ -116,20 +115,20 @@ def _bigrams(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """Two bigram Kneser-Ney models with shared lower orders, as sorted arrays of bigrams."""
 
-    def __init__(self, size: int, toxic: np.ndarray, plain: tuple[np.ndarray, np.ndarray]):
-        """From the toxic bigrams (a * size + b) and the different ordinary ones with their counts."""
+    def __init__(self, size: int, toxic: tuple[np.ndarray, np.ndarray], plain: tuple[np.ndarray, np.ndarray]):
+        """From the different bigrams (a * size + b) of both classes and in how many documents each occurs."""
         self.size = size
-        pair = [np.unique(toxic, return_counts=True), plain]
+        pair = [toxic, plain]
         both = np.union1d(pair[0][0], pair[1][0])
         # shared: after how many different words a word comes, in either class
         after = np.bincount(both % size, minlength=size) + 0.5
         self.base = base = np.log(after / after.sum())
         self.classes = []
-        for keys, n in pair:
+        for (keys, n), discount in zip(pair, (1.0, DISCOUNT)):  # what one toxic document alone has goes to the shared part
             left = keys // size
             total, kinds = np.bincount(left, n, minlength=size), np.bincount(left, minlength=size)
-            rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            seen = np.maximum(n - DISCOUNT, 0) / np.maximum(total[left], 1) + rest[left] * np.exp(base[keys % size])
+            rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            seen = np.maximum(n - discount, 0) / np.maximum(total[left], 1) + rest[left] * np.exp(base[keys % size])
             self.classes.append((np.append(keys, np.int64(2**62)), np.append(np.log(seen), 0.0), np.log(rest)))
 
     def scores(self, a: np.ndarray, b: np.ndarray, passage: np.ndarray) -> np.ndarray:
@@ -144,10 +143,10 @@ class Model:
         borders = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         total = np.add.reduceat(np.clip(ratio, -CLIP, CLIP), borders)
         size = np.diff(np.append(borders, len(a)))
-        return np.minimum(total / size, total * (SELECT / EVIDENCE))
+        return np.minimum(total / size, total * SUM_SHARE)
 
 
-def fit(labelled: list[tuple[str, bool]], *, rounds: int = ROUNDS) -> tuple[dict[str, int], Model] | None:
+def fit(labelled: list[tuple[str, bool]]) -> tuple[dict[str, int], Model] | None:
     """Vocabulary and model from whole texts and their labels."""
     if len({label for _, label in labelled}) < 2:
         return None
@@ -162,27 +161,12 @@ def fit(labelled: list[tuple[str, bool]], *, rounds: int = ROUNDS) -> tuple[dict
     number[order] = np.arange(len(order)) + 3
     size = len(order) + 3
     words = {w: int(number[i]) for w, i in first.words.items() if number[i] != RARE}
-    toxic = [_bigrams(number[r]) for r, (_, label) in zip(rows, labelled) if label]
-    plain = np.concatenate([a * size + b for r, (_, label) in zip(rows, labelled) if not label for a, b, _ in [_bigrams(number[r])]])
-    plain = np.unique(plain, return_counts=True)
-    del rows
-    chosen = [np.ones(len(a), bool) for a, _, _ in toxic]
-    keys = [a * size + b for a, b, _ in toxic]
-    for _ in range(rounds):
-        # a document is scored without itself, so only what other toxic documents have, too, stands out
-        models = []
-        for f in range(FOLDS):
-            own = [k[c] for i, (k, c) in enumerate(zip(keys, chosen)) if i % FOLDS != f]
-            models.append(Model(size, np.concatenate(own) if own else np.zeros(0, np.int64), plain))
-        kept = []
-        for i, (a, b, p) in enumerate(toxic):
-            score = models[i % FOLDS].scores(a, b, p)
-            passage = np.cumsum(np.concatenate([[False], p[1:] != p[:-1]])) if len(p) else p
-            kept.append(score[passage] >= SELECT if len(p) else np.zeros(0, bool))
-        if not any(k.any() for k in kept):
-            break
-        chosen = kept
-    return words, Model(size, np.concatenate([k[c] for k, c in zip(keys, chosen)]), plain)
+    kinds = {True: [], False: []}
+    for row, (_, label) in zip(rows, labelled):
+        a, b, _ = _bigrams(number[row])
+        kinds[label].append(np.unique(a * size + b))
+    counted = [np.unique(np.concatenate(kinds[label]), return_counts=True) for label in (True, False)]
+    return words, Model(size, *counted)
 
 
 def score_texts(numbers: _Numbers, model: Model, texts: list[str]) -> list[float | None]:
