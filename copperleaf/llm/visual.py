@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,18 +163,12 @@ def with_forms(df: DataFrame, column: str, *, visual: str = "visual", folded: st
     if {visual, folded} & {*df.columns}:
         raise ValueError("a column of that name exists already")
 
-    @lru_cache(1)
-    def udf():
-        import pandas as pd
+    @F.pandas_udf("visual string, folded string")
+    def forms(values: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(values)
+        out = pd.DataFrame({"visual": [visual_form(x) for x in distinct], "folded": [folded_form(x) for x in distinct]}, dtype=object)
+        return out.reindex(codes).reset_index(drop=True)  # code -1, null, isn't in the index
 
-        @F.pandas_udf("visual string, folded string")
-        def forms(values: pd.Series) -> pd.DataFrame:
-            codes, distinct = pd.factorize(values)
-            out = pd.DataFrame({"visual": [visual_form(x) for x in distinct], "folded": [folded_form(x) for x in distinct]}, dtype=object)
-            return out.reindex(codes).reset_index(drop=True)  # code -1, null, isn't in the index
-
-        return forms
-
-    return df.withColumn("__forms", udf()(F.col(f"`{column}`"))).select(
+    return df.withColumn("__forms", forms(F.col(f"`{column}`"))).select(
         *[F.col(f"`{c}`") for c in df.columns], F.col("__forms.visual").alias(visual), F.col("__forms.folded").alias(folded)
     )
