@@ -20,4 +20,4 @@ STALE_SECONDS = 600
 DATASETS = ("lcb_pre", "lcb_post", "humaneval", "mbppplus")
 DETECTORS = ("cdd", "perplexity", "mink_prob", "completion_perplexity", "completion_mink_prob")
 LABELS = {"A": "FI", "B": "NI", "C": "SL", "D": "U"}
-COVERAGE_STATES = ("not_searched", "complete_empty", "complete_with_candidates")
+COVERAGE_STATES = ("not_searched", "search_complete_no_candidates", "search_complete_with_candidates")

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 # Fixed value: words, numbers with a fraction, and single signs; letters beyond ASCII match none of them.
 TOKENS = r"([A-Za-z_][A-Za-z_0-9]*|\p{Nd}+(?:\.\p{Nd}+)?|[^\p{L}\p{N}_ ])"
+# Fixed value: a fenced block with an optional language.
+FENCE = r"(?s)```(?:[a-zA-Z0-9_+-]*)\n?(.*?)```"
+# What contest prompts are followed by.
+STARTER = ("\n\nComplete this Python starter code. Return only the complete code.\n```python\n", "\n```")
+PROGRAM = "\n\nWrite a complete Python program that reads from standard input and writes to standard output. Return only the code."
+# The forms of answers.
+LABEL_ANSWER = r"\AAnswer: ([ABCD])\z"
+TRIVIAL_ANSWER = r"\ADecision: (Yes|No)\nReasoning: [^\n]+\z"
 # Fixed value: runs of white space of any kind.
 BLANKS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # The keys whose text counts, at the top and below it.
@@ -68,16 +76,16 @@ def char_start(text: Column, part: Column) -> Column:
 
 
 def fenced(text: Column) -> Column:
-    """The content of the last fenced block, or the text itself."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)```"), F.lit(1))
-    return F.when(F.size(blocks) > 0, F.trim(F.element_at(blocks, -1))).otherwise(F.trim(text))
+    """The content of the last fenced block as it is, or the text itself."""
+    blocks = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
+    return F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(text)
 
 
 def generation_prompt(dataset: Column, prompt: Column, starter: Column) -> Column:
-    """The prompt by kind of problem: completion as it is, task with instruction, starter code where there is some."""
-    asked = F.concat(F.lit("Solve the problem in Python. Answer with one fenced code block.\n\n"), prompt)
-    started = F.concat(asked, F.lit("\n\nStart from this code:\n"), starter)
-    return F.when(dataset == "humaneval", prompt).when(F.coalesce(F.length(starter), F.lit(0)) > 0, started).otherwise(asked)
+    """The prompt as it is, but for contest problems with starter code to complete or else the form of a whole program."""
+    contest = dataset.isin("lcb_pre", "lcb_post")
+    started = F.coalesce(F.length(starter), F.lit(0)) > 0
+    return F.when(contest & started, F.concat(prompt, F.lit(STARTER[0]), starter, F.lit(STARTER[1]))).when(contest, F.concat(prompt, F.lit(PROGRAM))).otherwise(prompt)
 
 
 def render(template: str, **values: Column) -> Column:
@@ -90,13 +98,13 @@ def render(template: str, **values: Column) -> Column:
 
 def fine_label(answer: Column) -> Column:
     """FI, NI, SL or U from a whole answer ``Answer: A`` to ``Answer: D``; null for anything else."""
-    letter = F.regexp_extract(answer, r"\AAnswer: ([ABCD])\z", 1)
+    letter = F.regexp_extract(answer, LABEL_ANSWER, 1)
     return F.when(letter == "A", "FI").when(letter == "B", "NI").when(letter == "C", "SL").when(letter == "D", "U")
 
 
 def trivial_decision(answer: Column) -> Column:
-    """True or False from a whole answer ``Decision: Yes|No`` with a line ``Reasoning: ...``; null for anything else."""
-    word = F.regexp_extract(answer, r"(?s)\ADecision: (Yes|No)\nReasoning: \S.*\z", 1)
+    """True or False from a whole answer ``Decision: Yes|No`` with one line ``Reasoning: ...``; null for anything else."""
+    word = F.regexp_extract(answer, TRIVIAL_ANSWER, 1)
     return F.when(word == "Yes", True).when(word == "No", False)
 
 

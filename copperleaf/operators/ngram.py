@@ -57,13 +57,17 @@ def matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> DataFra
     )
 
 
+def short_queries(queries: DataFrame) -> DataFrame:
+    return queries.where((F.size("query_grams") == 0) & (F.col("query") != "")).select(*ITEM, "query", "query_tokens")
+
+
 def short_matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> DataFrame:
     """Items with fewer than n tokens that a document's normalised text contains.
 
     Documents meet items by the longest inner token of the item, as any containing text has its inner tokens; items of
     fewer than three tokens, whose ends may lie inside other words, are few and compared with every document.
     """
-    short = queries.where((F.size("query_grams") == 0) & (F.col("query") != "")).select(*ITEM, "query", "query_tokens")
+    short = short_queries(queries)
     inner = F.when(F.size("query_tokens") > 2, F.slice(F.col("query_tokens"), F.lit(2), F.greatest(F.size("query_tokens") - 2, F.lit(1))))
     keyed = short.withColumn("key", F.element_at(F.array_sort(inner, lambda x, y: F.length(x) - F.length(y)), -1))
     words = documents.select("document_id", "normalized", F.explode_outer(F.array_distinct("tokens")).alias("key")).where(F.col("key").isNotNull())
@@ -83,12 +87,14 @@ def evidence(
     With ``negatives`` an item without evidence has one row with nulls and rank 1.
     """
     queries = benchmark(items, n, exact=exact)
-    texts = corpus(documents, exact=exact)
-    found = matches(texts, queries, n)
-    short = short_matches(texts, queries, n).select(*ITEM, "document_id", F.lit(0).alias("matched_ngrams"), F.lit(None).cast("int").alias("matched_token_start"))
-    pairs = found.unionByName(short)
-    # only candidates meet their texts; verbatim is looked at in them alone
-    full = pairs.join(broadcast_if_small(queries.withColumn("query_ngrams", F.size("query_grams")).drop("query_grams")), ITEM).join(texts, "document_id")
+    pairs = matches(corpus(documents, exact=exact), queries, n)
+    if not short_queries(queries).isEmpty():
+        short = short_matches(corpus(documents, exact=exact), queries, n)
+        pairs = pairs.unionByName(short.select(*ITEM, "document_id", F.lit(0).alias("matched_ngrams"), F.lit(None).cast("int").alias("matched_token_start")))
+    # only candidates meet their texts, which are read into tokens after that; verbatim is looked at in them alone
+    raw = documents.select(F.col("doc_id").cast("string").alias("document_id"), "text").dropDuplicates(["document_id"])
+    full = pairs.join(broadcast_if_small(queries.withColumn("query_ngrams", F.size("query_grams")).drop("query_grams")), ITEM).join(raw, "document_id")
+    full = T.with_tokens(full, "text", exact=exact)
     start = F.col("matched_token_start")
     ready = full.select(
         *ITEM, "document_id", F.contains("normalized", "query").alias("normalized_verbatim"), F.lit(n).alias("ngram_size"),

@@ -69,9 +69,8 @@ def cached_map(df: DataFrame, column: str, function: Column | Callable[[Column],
 
 
 def finalize(pairs: DataFrame, *, label: str = "pre_screen_label") -> DataFrame:
-    """Adds the outcome of pairs: excluded if either side is trivial and the label isn't U; the binary label then is null, else label <> U."""
-    trivial = F.coalesce("benchmark_is_trivial", F.lit(False)) | F.coalesce("training_is_trivial", F.lit(False))
-    excluded = (F.col(label) != "U") & trivial
+    """Adds the outcome of pairs: excluded if either side is trivial, with its label kept; the binary label then is null, else label <> U."""
+    excluded = F.coalesce("benchmark_is_trivial", F.lit(False)) | F.coalesce("training_is_trivial", F.lit(False))
     return pairs.withColumns(
         {"excluded": excluded, "final_fine_grained_label": F.col(label), "binary_contamination_label": F.when(~excluded, F.col(label) != "U")}
     )

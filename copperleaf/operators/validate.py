@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.config import DETECTORS
+from copperleaf.config import COVERAGE_STATES, DETECTORS
+from copperleaf.functions.text import fine_label, trivial_decision
+
+EMPTY, FOUND = COVERAGE_STATES[1:]
 
 
 def require_empty(violations: DataFrame, message: str) -> None:
@@ -50,30 +56,66 @@ def overlap(left: DataFrame, right: DataFrame, key: str = "item_id") -> DataFram
     return left.select(key).intersect(right.select(key))
 
 
+#: Fields of a pair record that may be neither null nor empty.
+PAIR_TEXTS = (
+    "run_id", "benchmark", "item_id", "corpus", "corpus_revision", "shard", "document_id", "benchmark_description", "training_description",
+    "normalized_benchmark_description", "normalized_training_description", "retrieval_method", "prompt_version", "run_timestamp",
+)
+
+
+def _violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule that is true of a record; a rule that is null isn't."""
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]))
+    return rows.select(*key, F.explode(broken).alias("rule"))
+
+
+def _no_text(names: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.coalesce(F.trim(F.col(n)) == "", F.lit(True)) for n in names])
+
+
+def _not_finite(c: Column) -> Column:
+    return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
 def pair_violations(pairs: DataFrame) -> DataFrame:
     """(pair_id, rule) of pair records that contradict themselves."""
-    label, pre = F.col("final_fine_grained_label"), F.col("pre_screen_label")
-    trivial = F.coalesce("benchmark_trivial_screen.is_trivial", F.lit(False)) | F.coalesce("training_trivial_screen.is_trivial", F.lit(False))
-    score, d = F.col("embedding_score"), F.col("decoding_config")
+    label, pre, route = F.col("final_fine_grained_label"), F.col("pre_screen_label"), F.col("triage_route")
+    screens = [F.col(f"{side}_trivial_screen") for side in ("benchmark", "training")]
+    trivial = reduce(or_, [F.coalesce(s["is_trivial"], F.lit(False)) for s in screens])
+    answer, score, d = F.col("raw_verification_output"), F.col("embedding_score"), F.col("decoding_config")
+    expected = F.when(~F.col("excluded"), pre != "U")
+    rules = {
+        "text": _no_text(PAIR_TEXTS),
+        "score": _not_finite(F.col("retrieval_score")) | _not_finite(score) | (score < 0) | (score > 1),
+        "label": ~label.eqNullSafe(pre) | ~pre.isin("FI", "NI", "SL", "U"),
+        "excluded": ~F.col("excluded").eqNullSafe(trivial),
+        "binary": ~F.col("binary_contamination_label").eqNullSafe(expected),
+        "route": F.when(route == "direct_fi", (pre != "FI") | answer.isNotNull()).when(route == "direct_u", (pre != "U") | answer.isNotNull()).when(
+            route == "verify", ~fine_label(answer).eqNullSafe(pre)).otherwise(True),
+        "screen": reduce(or_, [s["raw_output"].isNull() != s["is_trivial"].isNull() for s in screens]),
+        "screen_answer": reduce(or_, [s["raw_output"].isNotNull() & ~trivial_decision(s["raw_output"]).eqNullSafe(s["is_trivial"]) for s in screens]),
+        "decoding": _not_finite(d["temperature"]) | (d["temperature"] < 0) | _not_finite(d["top_p"]) | (d["top_p"] <= 0) | (d["top_p"] > 1) | (d["max_output_tokens"] <= 0),
+    }
+    return _violations(pairs.where(F.col("record_type") == "pair"), ["pair_id"], rules)
+
+
+def coverage_violations(rows: DataFrame) -> DataFrame:
+    """(run_id, item_id, rule) of coverage records that contradict themselves."""
+    expected, searched, n, status = (F.col(c) for c in ("expected_shards", "searched_shards", "candidate_count", "status"))
     rules = {
-        "label": ~label.isin("FI", "NI", "SL", "U") | ~pre.isin("FI", "NI", "SL", "U"),
-        "route": ~F.col("triage_route").isin("direct_fi", "verify", "direct_u"),
-        "score": F.isnan(score) | (score < 0) | (score > 1),
-        "excluded": F.col("excluded") & ~trivial,
-        "binary": F.when(F.col("excluded"), F.col("binary_contamination_label").isNotNull()).otherwise(
-            F.col("binary_contamination_label").isNull() | (F.col("binary_contamination_label") != (label != "U"))
-        ),
-        "verified": (F.col("triage_route") != "verify") & F.col("raw_verification_output").isNotNull(),
-        "decoding": (d["temperature"] < 0) | (d["top_p"] <= 0) | (d["top_p"] > 1) | (d["max_output_tokens"] < 1),
+        "shards": (expected < 0) | (searched < 0) | (searched > expected),
+        "not_searched": (status == "not_searched") & (n.isNotNull() | (searched != 0)),
+        "complete": (status != "not_searched") & (searched != expected),
+        "candidates": F.when(status == EMPTY, ~n.eqNullSafe(F.lit(0))).when(status == FOUND, F.coalesce(n <= 0, F.lit(True))),
+        "status": ~F.coalesce(status.isin("not_searched", EMPTY, FOUND), F.lit(False)),
     }
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]))
-    return pairs.where(F.col("record_type") == "pair").select("pair_id", F.explode(broken).alias("rule"))
+    return _violations(rows, ["run_id", "item_id"], rules)
 
 
 def coverage_status(rows: DataFrame) -> DataFrame:
     """Adds the state of a search: not searched, complete without, complete with candidates; null where a part is missing."""
     done = F.col("searched_shards") >= F.col("expected_shards")
     state = F.when(F.coalesce("searched_shards", F.lit(0)) == 0, "not_searched").when(
-        done, F.when(F.coalesce("candidate_count", F.lit(0)) > 0, "complete_with_candidates").otherwise("complete_empty")
+        done, F.when(F.coalesce("candidate_count", F.lit(0)) > 0, FOUND).otherwise(EMPTY)
     )
     return rows.withColumn("status", state)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from copperleaf.functions.text import BLANKS, TOKENS
+from copperleaf.operators.validate import PAIR_TEXTS
 
 
 
@@ -14,6 +15,10 @@ def _tokens(text: str) -> str:
     return f"regexp_extract_all({text}, '{TOKENS}', 1)"
 
 
+def _verdict(answer: str) -> str:
+    return f"CASE regexp_extract({answer}, '\\ADecision: (Yes|No)\\nReasoning: [^\\n]+\\z', 1) WHEN 'Yes' THEN true WHEN 'No' THEN false END"
+
+
 _N = 13
 _ITEMS_ONCE = "(SELECT dataset, item_id, any_value(prompt) AS prompt FROM items GROUP BY dataset, item_id)"
 _GENS_ONCE = "(SELECT DISTINCT ON (model, quant, item_id, sample_id) * FROM generations)"
@@ -108,11 +113,12 @@ WITH i AS (SELECT item_id, any_value(metadata_json) AS m FROM items WHERE datase
 s AS (SELECT CASE WHEN CAST(m->>'$.contest_date' AS TIMESTAMP) < TIMESTAMP '2024-01-01' THEN 'lcb_pre' WHEN m->>'$.contest_date' IS NOT NULL THEN 'lcb_post' END AS dataset FROM i)
 SELECT dataset, dataset <> 'lcb_post' AS contamination_proxy, count(*) AS n FROM s GROUP BY ALL""",
     "fenced_code": f"""
-SELECT model, quant, item_id, sample_id, trim(coalesce(list_extract(regexp_extract_all(text, '(?s)```[A-Za-z0-9_+-]*[ \\t]*\\r?\\n(.*?)```', 1), -1), text), ' ') AS code
+SELECT model, quant, item_id, sample_id, coalesce(list_extract(regexp_extract_all(text, '(?s)```(?:[a-zA-Z0-9_+-]*)\\n?(.*?)```', 1), -1), text) AS code
 FROM {_GENS_ONCE}""",
     "rendered_prompts": """
 SELECT DISTINCT item_id,
-  md5(CASE WHEN dataset = 'humaneval' THEN prompt ELSE 'Solve the problem in Python. Answer with one fenced code block.' || chr(10) || chr(10) || prompt END) AS asked_md5,
+  md5(CASE WHEN dataset IN ('lcb_pre', 'lcb_post') THEN prompt || chr(10) || chr(10)
+    || 'Write a complete Python program that reads from standard input and writes to standard output. Return only the code.' ELSE prompt END) AS asked_md5,
   md5('Item ' || item_id || ' (' || coalesce(difficulty, '') || '):' || chr(10) || coalesce(prompt, '')) AS rendered_md5 FROM items""",
     "program_outputs": """
 SELECT model, quant, item_id, sample_id,
@@ -163,23 +169,29 @@ FROM {_LABELS} JOIN t USING (item_id) WHERE contamination_proxy IS NOT NULL AND
 FROM tracer_pairs WHERE embedding_score BETWEEN 0 AND 1 GROUP BY ALL""",
     "verdicts": """
 SELECT pair_id, CASE raw_verification_output WHEN 'Answer: A' THEN 'FI' WHEN 'Answer: B' THEN 'NI' WHEN 'Answer: C' THEN 'SL' WHEN 'Answer: D' THEN 'U' END AS label,
-  CASE regexp_extract(benchmark_trivial_screen.raw_output, '(?s)\\ADecision: (Yes|No)\\nReasoning: \\S.*\\z', 1) WHEN 'Yes' THEN true WHEN 'No' THEN false END AS benchmark_trivial,
-  CASE regexp_extract(training_trivial_screen.raw_output, '(?s)\\ADecision: (Yes|No)\\nReasoning: \\S.*\\z', 1) WHEN 'Yes' THEN true WHEN 'No' THEN false END AS training_trivial
+  CASE regexp_extract(benchmark_trivial_screen.raw_output, '\\ADecision: (Yes|No)\\nReasoning: [^\\n]+\\z', 1) WHEN 'Yes' THEN true WHEN 'No' THEN false END AS benchmark_trivial,
+  CASE regexp_extract(training_trivial_screen.raw_output, '\\ADecision: (Yes|No)\\nReasoning: [^\\n]+\\z', 1) WHEN 'Yes' THEN true WHEN 'No' THEN false END AS training_trivial
 FROM tracer_pairs""",
     "finalized_pairs": """
-WITH f AS (SELECT pair_id, pre_screen_label AS l, (pre_screen_label <> 'U') AND (coalesce(benchmark_trivial_screen.is_trivial, false) OR coalesce(training_trivial_screen.is_trivial, false)) AS x
+WITH f AS (SELECT pair_id, pre_screen_label AS l, coalesce(benchmark_trivial_screen.is_trivial, false) OR coalesce(training_trivial_screen.is_trivial, false) AS x
            FROM tracer_pairs)
 SELECT pair_id, x AS excluded, l AS final_fine_grained_label, CASE WHEN NOT x THEN l <> 'U' END AS binary_contamination_label FROM f""",
-    "pair_violations": """
-WITH t AS (SELECT *, coalesce(benchmark_trivial_screen.is_trivial, false) OR coalesce(training_trivial_screen.is_trivial, false) AS trivial FROM tracer_pairs WHERE record_type = 'pair')
-SELECT pair_id, 'label' AS rule FROM t WHERE final_fine_grained_label NOT IN ('FI', 'NI', 'SL', 'U') OR pre_screen_label NOT IN ('FI', 'NI', 'SL', 'U')
-UNION ALL SELECT pair_id, 'route' FROM t WHERE triage_route NOT IN ('direct_fi', 'verify', 'direct_u')
-UNION ALL SELECT pair_id, 'score' FROM t WHERE isnan(embedding_score) OR embedding_score < 0 OR embedding_score > 1
-UNION ALL SELECT pair_id, 'excluded' FROM t WHERE excluded AND NOT trivial
-UNION ALL SELECT pair_id, 'binary' FROM t WHERE CASE WHEN excluded THEN binary_contamination_label IS NOT NULL
-  ELSE binary_contamination_label IS NULL OR binary_contamination_label <> (final_fine_grained_label <> 'U') END
-UNION ALL SELECT pair_id, 'verified' FROM t WHERE triage_route <> 'verify' AND raw_verification_output IS NOT NULL
-UNION ALL SELECT pair_id, 'decoding' FROM t WHERE decoding_config.temperature < 0 OR decoding_config.top_p <= 0 OR decoding_config.top_p > 1 OR decoding_config.max_output_tokens < 1""",
+    "pair_violations": f"""
+WITH t AS (SELECT *, coalesce(benchmark_trivial_screen.is_trivial, false) OR coalesce(training_trivial_screen.is_trivial, false) AS trivial,
+  benchmark_trivial_screen AS b, training_trivial_screen AS s, decoding_config AS d FROM tracer_pairs WHERE record_type = 'pair'),
+a AS (SELECT *, {_verdict("b.raw_output")} AS bv, {_verdict("s.raw_output")} AS sv,
+  CASE raw_verification_output WHEN 'Answer: A' THEN 'FI' WHEN 'Answer: B' THEN 'NI' WHEN 'Answer: C' THEN 'SL' WHEN 'Answer: D' THEN 'U' END AS v FROM t)
+SELECT pair_id, 'text' AS rule FROM a WHERE {" OR ".join(f"coalesce(trim({c}) = '', true)" for c in PAIR_TEXTS)}
+UNION ALL SELECT pair_id, 'score' FROM a WHERE coalesce(NOT isfinite(retrieval_score), true) OR coalesce(NOT isfinite(embedding_score), true) OR embedding_score < 0 OR embedding_score > 1
+UNION ALL SELECT pair_id, 'label' FROM a WHERE final_fine_grained_label IS DISTINCT FROM pre_screen_label OR pre_screen_label NOT IN ('FI', 'NI', 'SL', 'U')
+UNION ALL SELECT pair_id, 'excluded' FROM a WHERE excluded IS DISTINCT FROM trivial
+UNION ALL SELECT pair_id, 'binary' FROM a WHERE binary_contamination_label IS DISTINCT FROM (CASE WHEN NOT excluded THEN pre_screen_label <> 'U' END)
+UNION ALL SELECT pair_id, 'route' FROM a WHERE CASE triage_route WHEN 'direct_fi' THEN pre_screen_label <> 'FI' OR raw_verification_output IS NOT NULL
+  WHEN 'direct_u' THEN pre_screen_label <> 'U' OR raw_verification_output IS NOT NULL WHEN 'verify' THEN v IS DISTINCT FROM pre_screen_label ELSE true END
+UNION ALL SELECT pair_id, 'screen' FROM a WHERE (b.raw_output IS NULL) <> (b.is_trivial IS NULL) OR (s.raw_output IS NULL) <> (s.is_trivial IS NULL)
+UNION ALL SELECT pair_id, 'screen_answer' FROM a WHERE (b.raw_output IS NOT NULL AND bv IS DISTINCT FROM b.is_trivial) OR (s.raw_output IS NOT NULL AND sv IS DISTINCT FROM s.is_trivial)
+UNION ALL SELECT pair_id, 'decoding' FROM a WHERE coalesce(NOT isfinite(d.temperature), true) OR d.temperature < 0 OR coalesce(NOT isfinite(d.top_p), true)
+  OR d.top_p <= 0 OR d.top_p > 1 OR d.max_output_tokens <= 0""",
     "repeated_rows": """
 SELECT 'generations' AS "table", count(*) AS keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM generations GROUP BY model, quant, item_id, sample_id HAVING count(*) > 1)
 UNION ALL SELECT 'items', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM items GROUP BY item_id HAVING count(*) > 1)""",
@@ -193,7 +205,7 @@ GROUP BY ALL HAVING bool_or(dataset = 'humaneval') AND bool_or(dataset = 'mbpppl
     "split_overlap": "SELECT item_id FROM generations WHERE quant = 'bf16' INTERSECT SELECT item_id FROM generations WHERE quant = 'bnb_nf4'",
     "coverage_states": """
 WITH f AS (SELECT item_id, count(DISTINCT document_id) AS n, count(DISTINCT corpus) AS c FROM evidence GROUP BY item_id)
-SELECT CASE WHEN coalesce(c, 0) = 0 THEN 'not_searched' WHEN coalesce(n, 0) > 0 THEN 'complete_with_candidates' ELSE 'complete_empty' END AS status, count(*) AS n
+SELECT CASE WHEN coalesce(c, 0) = 0 THEN 'not_searched' WHEN coalesce(n, 0) > 0 THEN 'search_complete_with_candidates' ELSE 'search_complete_no_candidates' END AS status, count(*) AS n
 FROM (SELECT DISTINCT item_id FROM items) LEFT JOIN f USING (item_id) GROUP BY ALL""",
     "shard_status": """SELECT status, count(*) AS shards, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS size_bytes, CAST(coalesce(sum(documents_scanned), 0) AS BIGINT) AS documents_scanned,
   CAST(coalesce(sum(evidence_rows), 0) AS BIGINT) AS evidence_rows FROM shards GROUP BY status""",
