@@ -33,20 +33,11 @@ def corpus(documents: DataFrame, *, exact: bool = False) -> DataFrame:
     return T.with_tokens(documents.select(F.col("doc_id").cast("string").alias("document_id"), "text"), "text", exact=exact).drop("text")
 
 
-def gram_places(documents: DataFrame, n: int) -> DataFrame:
-    """(document_id, h, token_start): the first place of each different n-gram of a document.
-
-    The outer form of the generator keeps the optimizer from inferring a filter that copies the tokenizer.
-    """
-    hashes = documents.select("document_id", T.gram_hashes(F.col("tokens"), n).alias("h"))
-    each = hashes.select("document_id", F.posexplode_outer("h").alias("token_start", "h")).where(F.col("h").isNotNull())
-    return each.groupBy("document_id", "h").agg(F.min("token_start").alias("token_start"))
-
-
 def matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> DataFrame:
     """(dataset, item_id, document_id, matched_ngrams, matched_token_start): different n-grams in common and the first place.
 
     Corpus n-grams meet those of the benchmark before anything is shuffled, as long as the latter fit a broadcast.
+    The outer form of the generator keeps the optimizer from inferring a filter that copies the tokenizer.
     """
     grams = queries.select(*ITEM, F.explode_outer("query_grams").alias("h")).where(F.col("h").isNotNull())
     hashes = documents.select("document_id", T.gram_hashes(F.col("tokens"), n).alias("h"))
@@ -92,8 +83,9 @@ def evidence(
         short = short_matches(corpus(documents, exact=exact), queries, n)
         pairs = pairs.unionByName(short.select(*ITEM, "document_id", F.lit(0).alias("matched_ngrams"), F.lit(None).cast("int").alias("matched_token_start")))
     # only candidates meet their texts, which are read into tokens after that; verbatim is looked at in them alone
-    raw = documents.select(F.col("doc_id").cast("string").alias("document_id"), "text").dropDuplicates(["document_id"])
+    raw = documents.select(F.col("doc_id").cast("string").alias("document_id"), "text")
     full = pairs.join(broadcast_if_small(queries.withColumn("query_ngrams", F.size("query_grams")).drop("query_grams")), ITEM).join(raw, "document_id")
+    full = full.dropDuplicates([*ITEM, "document_id"])  # a repeated document counts once
     full = T.with_tokens(full, "text", exact=exact)
     start = F.col("matched_token_start")
     ready = full.select(

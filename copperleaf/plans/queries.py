@@ -231,11 +231,11 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = shards.status_counts(table(spark, sf_dir, "shards")).agg(F.sum("shards").alias("expected_shards"), F.sum(F.when(F.col("status") == "complete", F.col("shards"))).alias("done"))
+    total = sum(r.shards for r in shards.status_counts(table(spark, sf_dir, "shards")).collect())  # a row for each status
     found = table(spark, sf_dir, "evidence").groupBy("item_id").agg(F.count_distinct("document_id").alias("candidate_count"), F.count_distinct("corpus").alias("corpora"))
     items = table(spark, sf_dir, "items").select("item_id").distinct().join(found, "item_id", "left")
-    rows = items.crossJoin(F.broadcast(total))  # one row
-    rows = rows.withColumn("searched_shards", F.when(F.coalesce("corpora", F.lit(0)) > 0, F.col("expected_shards")).otherwise(0))
+    searched = F.when(F.coalesce("corpora", F.lit(0)) > 0, F.lit(total)).otherwise(0)
+    rows = items.withColumns({"expected_shards": F.lit(total), "searched_shards": searched})
     return validate.coverage_status(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -79,12 +79,13 @@ def shortest_items(items: DataFrame, n: int) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
     """The records of one ``record_type`` in a file of JSON lines; a malformed line is an error that names the file and the line."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    lines = lines.where(F.trim("line") != "")
-    parsed = lines.select("f", "i", "line", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    broken = parsed.where(F.col("r").isNull() | F.col("r.record_type").isNull()).select(F.concat_ws(":", "f", (F.col("i") + 1).cast("string"))).limit(1).collect()
-    if broken:
-        raise ValueError(f"{broken[0][0]}: no record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.input_file_name().alias("f"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    broken = parsed.where(F.col("r").isNull() | F.col("r.record_type").isNull()).select("f").limit(1).collect()
+    if broken:  # only now is the line's number looked for, in that file
+        whole = spark.read.text(broken[0][0], wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line")).where(F.trim("line") != "")
+        first = whole.where(F.from_json("line", schema)["record_type"].isNull()).agg(F.min("i")).first()[0]
+        raise ValueError(f"{broken[0][0]}:{(first or 0) + 1}: no record")
     return parsed.select("r.*").where(F.col("record_type") == kind)
 
 
