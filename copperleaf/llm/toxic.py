@@ -191,9 +191,10 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) of every row: the greatest score of its passages; THRESHOLD and more is toxic."""
     spark = documents.sparkSession
     votes = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic"))
-    known = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != "")).join(votes, "doc_id")
-    # bounded: the toxic ones first, then by hash of the key
-    known = known.orderBy(F.col("toxic").desc(), F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select("text", "toxic")
+    # bounded before the join, so that labels go to the documents and no text is shuffled: toxic ones first, then by hash of the key
+    some = votes.orderBy(F.col("toxic").desc(), F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    known = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    known = known.join(F.broadcast(some), "doc_id").select("text", "toxic")
     shared = spark.sparkContext.broadcast(fit(sorted((r[0], r[1]) for r in known.collect())))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
