@@ -48,8 +48,9 @@ def matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> DataFra
     )
 
 
-def short_queries(queries: DataFrame) -> DataFrame:
-    return queries.where((F.size("query_grams") == 0) & (F.col("query") != "")).select(*ITEM, "query", "query_tokens")
+def short_queries(queries: DataFrame, n: int) -> DataFrame:
+    """Items with fewer than n tokens; asked of the tokens, as a filter on n-grams would be pushed down with the tokenizer in its loop."""
+    return queries.where((F.size("query_tokens") < n) & (F.col("query") != "")).select(*ITEM, "query", "query_tokens")
 
 
 def short_matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -58,7 +59,7 @@ def short_matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> D
     Documents meet items by the longest inner token of the item, as any containing text has its inner tokens; items of
     fewer than three tokens, whose ends may lie inside other words, are few and compared with every document.
     """
-    short = short_queries(queries)
+    short = short_queries(queries, n)
     inner = F.when(F.size("query_tokens") > 2, F.slice(F.col("query_tokens"), F.lit(2), F.greatest(F.size("query_tokens") - 2, F.lit(1))))
     keyed = short.withColumn("key", F.element_at(F.array_sort(inner, lambda x, y: F.length(x) - F.length(y)), -1))
     words = documents.select("document_id", "normalized", F.explode_outer(F.array_distinct("tokens")).alias("key")).where(F.col("key").isNotNull())
@@ -79,7 +80,7 @@ def evidence(
     """
     queries = benchmark(items, n, exact=exact)
     pairs = matches(corpus(documents, exact=exact), queries, n)
-    if not short_queries(queries).isEmpty():
+    if not short_queries(queries, n).isEmpty():
         short = short_matches(corpus(documents, exact=exact), queries, n)
         pairs = pairs.unionByName(short.select(*ITEM, "document_id", F.lit(0).alias("matched_ngrams"), F.lit(None).cast("int").alias("matched_token_start")))
     # only candidates meet their texts, which are read into tokens after that; verbatim is looked at in them alone
