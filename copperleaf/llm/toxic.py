@@ -6,9 +6,9 @@ are wrong; so bigrams count by the documents that have them, and what a single t
 shared part: ordinary passages then have a ratio near 0. A passage scores the difference of its
 length-normalised log-likelihoods, a document the score of its worst passage.
 
-The fit uses a documented, bounded sample of labelled documents (``MOST_LABELLED``) and a vocabulary of at most
-``MOST_WORDS`` words, so the model that is broadcast has a bounded size. Scoring covers every passage of every
-document.
+Words and bigrams are counted over all labelled documents, in tasks; their texts stay there. What reaches the driver
+and is broadcast is the vocabulary, of at most ``MOST_WORDS`` words, and one row a different bigram of it. Scoring
+covers every passage of every document.
 
 Results for odd input: null and empty texts score null, as do texts without a word; without labels of both kinds
 every document scores null; contradicting labels count by majority, ties as ordinary.
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copperleaf.llm.visual import visual_form
+from copperleaf.operators.ngram import broadcast_if_small
+from copperleaf.session import discard, materialize
 
-MOST_LABELLED = 12_000
 MOST_WORDS = 50_000
 #: So many different words as they are written are remembered at a time.
 MOST_KNOWN = 300_000
@@ -77,20 +80,15 @@ def plain_word(word: str) -> str | None:
 
 
 class _Numbers(dict):
-    """Words as written to numbers; ``words`` grows while fitting and is fixed while scoring."""
+    """Words as written to the numbers of a vocabulary."""
 
-    def __init__(self, words: dict[str, int], grow: bool):
+    def __init__(self, words: dict[str, int]):
         super().__init__({"\0": MARK})
-        self.words, self.grow = words, grow
+        self.words = words
 
     def __missing__(self, written: str) -> int:
         word = plain_word(written)
-        if word is None:
-            n = NUMBER
-        elif self.grow:
-            n = self.words.setdefault(word, len(self.words) + 3)
-        else:
-            n = self.words.get(word, RARE)
+        n = NUMBER if word is None else self.words.get(word, RARE)
         self[written] = n
         return n
 
@@ -146,27 +144,51 @@ class Model:
         return np.minimum(total / size, total * SUM_SHARE)
 
 
-def fit(labelled: list[tuple[str, bool]]) -> tuple[dict[str, int], Model] | None:
-    """Vocabulary and model from whole texts and their labels."""
-    if len({label for _, label in labelled}) < 2:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        written = Counter(chain.from_iterable(written_words(t) for t in batch.column(0).to_pylist()))
+        del written["\0"]
+        counts: Counter[str] = Counter()
+        for w, n in written.items():
+            if (word := plain_word(w)) is not None:
+                counts[word] += n
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+
+def _bigram_counts(shared):
+    """(key, toxic, n): in how many documents of a batch each bigram occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        numbers, size = _Numbers(words), len(words) + 3
+        for batch in batches:
+            kinds = {True: [], False: []}
+            for row, label in zip(numbers.rows(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                a, b, _ = _bigrams(row)
+                kinds[label].append(np.unique(a * size + b))
+            for label, keys in kinds.items():
+                if keys:
+                    key, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([label] * len(key), pa.bool_()), pa.array(n)], ["key", "toxic", "n"])
+
+    return run
+
+
+def fit(labelled: DataFrame) -> tuple[dict[str, int], Model] | None:
+    """Vocabulary and model from ``labelled(text, toxic)``: whole texts and their labels, all of them."""
+    if labelled.select("toxic").distinct().count() < 2:
         return None
-    first = _Numbers({}, True)
-    rows = first.rows([t for t, _ in labelled])
-    counts = np.bincount(np.concatenate(rows), minlength=len(first.words) + 3)
-    counts[:3] = 0
-    order = np.argsort(-counts, kind="stable")[:MOST_WORDS]
-    order = order[counts[order] > 1]
-    number = np.full(len(counts), RARE)
-    number[[MARK, NUMBER]] = MARK, NUMBER
-    number[order] = np.arange(len(order)) + 3
-    size = len(order) + 3
-    words = {w: int(number[i]) for w, i in first.words.items() if number[i] != RARE}
-    kinds = {True: [], False: []}
-    for row, (_, label) in zip(rows, labelled):
-        a, b, _ = _bigrams(number[row])
-        kinds[label].append(np.unique(a * size + b))
-    counted = [np.unique(np.concatenate(kinds[label]), return_counts=True) for label in (True, False)]
-    return words, Model(size, *counted)
+    counts = labelled.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(MOST_WORDS).select("word").toArrow()
+    words = {w: i + 3 for i, w in enumerate(best.column(0).to_pylist())}
+    shared = labelled.sparkSession.sparkContext.broadcast(words)
+    rows = labelled.select("text", "toxic").mapInArrow(_bigram_counts(shared), "key long, toxic boolean, n long")
+    of = [F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0)).alias(name) for kind, name in ((True, "bad"), (False, "plain"))]
+    found = rows.groupBy("key").agg(*of).toArrow()  # at most one row a pair of the vocabulary's words
+    keys, *counted = (found.column(c).to_numpy() for c in range(3))
+    order = np.argsort(keys)
+    counted = [(keys[some], n[some]) for n in counted for some in [order[n[order] > 0]]]
+    return words, Model(len(words) + 3, *counted)
 
 
 def score_texts(numbers: _Numbers, model: Model, texts: list[str]) -> list[float | None]:
@@ -191,16 +213,16 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) of every row: the greatest score of its passages; THRESHOLD and more is toxic."""
     spark = documents.sparkSession
     votes = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic"))
-    # bounded before the join, so that labels go to the documents and no text is shuffled: toxic ones first, then by hash of the key
-    some = votes.orderBy(F.col("toxic").desc(), F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     known = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    known = known.join(F.broadcast(some), "doc_id").select("text", "toxic")
-    shared = spark.sparkContext.broadcast(fit(sorted((r[0], r[1]) for r in known.collect())))
+    # labels go to the documents as long as they are few, so that no text is shuffled
+    known = materialize(known.join(broadcast_if_small(votes), "doc_id").select("text", "toxic"), "labelled")
+    shared = spark.sparkContext.broadcast(fit(known))
+    discard(known)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        numbers = _Numbers(fitted[0], False) if fitted else None
+        numbers = _Numbers(fitted[0]) if fitted else None
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

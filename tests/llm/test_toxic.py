@@ -44,3 +44,16 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r) for r in toxic.scores(d, none).collect()] == [(1, None)]
     assert toxic.toxic_documents(d.limit(0), none).collect() == []
+
+
+def test_more_toxic_labels_than_any_bound(spark, monkeypatch):
+    """Every label counts: many toxic ones leave no ordinary text out."""
+    docs, labels, bad = data(3)
+    schema = "doc_id long, text string, source string"
+    d, l = spark.createDataFrame(docs, schema), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = {tuple(r) for r in toxic.scores(d, l).collect()}
+    assert any(s is not None for _, s in want)
+    monkeypatch.setattr(toxic, "MOST_LABELLED", sum(t for _, t in labels), raising=False)
+    got = {tuple(r) for r in toxic.scores(d, l).collect()}
+    assert got == want
+    assert {r.doc_id for r in toxic.toxic_documents(d, l).collect()} & bad
