@@ -102,6 +102,25 @@ def winnow(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np
     return owner[chosen], chosen - start[owner[chosen]], h[chosen]
 
 
+def _dense_spans(x: np.ndarray, y: np.ndarray, min_chars: int) -> list[tuple[int, int, int]]:
+    """As ``_common_spans``, but instead of all maximal repeats so many that they cover the same characters of both texts."""
+    gx, gy = Grams(x).hashes(min_chars), Grams(y).hashes(min_chars)
+    found = []
+    for one, other, p_text, q_text, swap in ((gx, gy, x, y, False), (gy, gx, y, x, True)):
+        kinds, first = np.unique(other, return_index=True)  # the first place of each gram
+        k = np.minimum(np.searchsorted(kinds, one), max(0, len(kinds) - 1))
+        at = np.flatnonzero(kinds[k] == one) if len(kinds) else np.zeros(0, np.int64)
+        place = first[k[at]]
+        # neighbours on one diagonal are one span
+        breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1)) + 1
+        for i, j in zip(np.concatenate([[0], breaks]).tolist(), np.concatenate([breaks, [len(at)]]).tolist()):
+            if i < j:
+                p, q, n = int(at[i]), int(place[i]), j - i - 1 + min_chars
+                if np.array_equal(p_text[p : p + n], q_text[q : q + n]):
+                    found.append((q, p, n) if swap else (p, q, n))
+    return sorted(set(found))
+
+
 def _common_spans(a: str, b: str, min_chars: int) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of the maximal repeats of at least ``min_chars``."""
     x, y = _points(a), _points(b)
@@ -111,12 +130,8 @@ def _common_spans(a: str, b: str, min_chars: int) -> list[tuple[int, int, int]]:
         places[v][o].append(p)
     seeds = [(p, q) for ps, qs in places.values() if len(ps) * len(qs) <= MOST_SEEDS for p in ps for q in qs]
     dense = any(len(ps) * len(qs) > MOST_SEEDS for ps, qs in places.values())
-    if dense or len(seeds) > 16 * MOST_SEEDS:  # long runs of one pattern: every equal min_chars-gram, without a seed for each pair of places
-        ga, gb = Grams(x).hashes(min_chars), Grams(y).hashes(min_chars)
-        first = dict(zip(gb.tolist()[::-1], range(len(gb) - 1, -1, -1)))
-        hits = [(p, first[v]) for p, v in enumerate(ga.tolist()) if v in first]
-        seeds = [(p, q) for p, q in hits if np.array_equal(x[p : p + min_chars], y[q : q + min_chars])]
-        return [(p, q, min_chars) for p, q in seeds]
+    if dense or len(seeds) > 16 * MOST_SEEDS:  # long runs of one pattern: every character in an equal min_chars-gram, without a seed for each pair of places
+        return _dense_spans(x, y, min_chars)
     found: list[tuple[int, int, int]] = []
     done: dict[int, int] = {}  # of a diagonal the end up to which it is known
     for p, q in sorted(seeds):
@@ -213,7 +228,7 @@ def shared_spans(records: DataFrame, min_chars: int = MIN_CHARS, *, hot: int = H
     """``records(f int, key long, value string)`` to (spans, copies).
 
     spans(f, a, b, start_a, start_b, n): the maximal repeats of pairs of different texts, a and b being the least
-    keys of their texts, a < b. copies(f, key, rep): of each record that shares an anchor, the least key with the
+    keys of their texts, a < b; of texts with long runs of one pattern, repeats that cover the same characters. copies(f, key, rep): of each record that shares an anchor, the least key with the
     same text.
     """
     anchor = "f int, key long, h long"

@@ -54,3 +54,18 @@ def test_anchors_of_common_spans_agree():
         a, b = ("".join(r.choice("abc") for _ in range(r.randrange(50))) + common + "c" * r.randrange(9) for _ in range(2))
         owner, _, h = spans.winnow([a, b], 30)
         assert {*h[owner == 0].tolist()} & {*h[owner == 1].tolist()}
+
+
+def covered(x, y, n):
+    """Characters of x in an n-gram that y has."""
+    grams = {y[i : i + n] for i in range(len(y) - n + 1)}
+    return len({i + j for i in range(len(x) - n + 1) if x[i : i + n] in grams for j in range(n)})
+
+
+def test_share_of_long_runs(spark):
+    """Both texts count all their characters in runs and periodic blocks, not one of them."""
+    block = "".join(chr(97 + i * 7 % 26) for i in range(40))
+    for x, y in [("=" * 900, "a" + "=" * 700 + "b"), ("ab" * 500 + "x" + block, "y" + "ba" * 400 + block + "ab" * 60 + "z" + block), ("-" * 400 + "c" + "-" * 300, "d" + "-" * 900)]:
+        df = spark.createDataFrame([(0, 1, x), (0, 2, y)], "f int, key long, value string")
+        got = {r.key: r.shared_chars for r in spans.shared_share(df, 30).collect()}
+        assert got == {1: covered(x, y, 30), 2: covered(y, x, 30)}
