@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copperleaf.session import materialize
+
 # Letters of other scripts and signs that share their shape with an ASCII character.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -142,20 +144,36 @@ def form_digests(values: DataFrame) -> DataFrame:
 def look_alike_pairs(values: DataFrame) -> DataFrame:
     """(field_name, key_a, key_b) of values that look the same and are not the same characters, key_a < key_b.
 
-    Works on variants first: classes with one variant leave before any pairing, so copies of a common value
-    cost nothing unless another variant of it exists. A key with several equal rows counts once.
+    Variants, the different values of one form, are paired before keys: a form with one variant leaves at once, and
+    the copies of a variant only meet the copies of other variants, so work is in proportion to the result. A key
+    with several equal rows counts once.
     """
-    digests = form_digests(values)
-    variants = digests.groupBy("field_name", "form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(form_digests(values), "forms")
+    variants = rows.groupBy("field_name", "form", "raw").agg(F.count(F.lit(1)).alias("n")).drop("n")
     many = variants.groupBy("field_name", "form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field_name", "form")
-    rows = digests.join(many, ["field_name", "form"], "left_semi").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.form") == F.col("b.form"))
-    return (
-        a.join(b, same & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.key") < F.col("b.key")))
-        .select(F.col("a.field_name").alias("field_name"), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-        .distinct()
-    )
+    several = variants.join(many, ["field_name", "form"], "left_semi")
+    a, b = several.toDF("field_name", "form", "raw"), several.toDF("field_name", "form", "raw_b")
+    meet = a.join(b, ["field_name", "form"]).where(F.col("raw") < F.col("raw_b")).select("field_name", "raw", "raw_b")
+    left = rows.select("field_name", F.col("key").alias("x"), "raw").distinct()
+    right = rows.select("field_name", F.col("key").alias("y"), F.col("raw").alias("raw_b")).distinct()
+    both = meet.join(left, ["field_name", "raw"]).join(right, ["field_name", "raw_b"]).where(F.col("x") != F.col("y"))
+    return both.select("field_name", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
+def folded_classes(values: DataFrame) -> DataFrame:
+    """(field_name, key, form): a digest of the folded form of each value, null where the value is null.
+
+    Values compare equal in the named method -- compatibility normalisation, full case folding, one kind of white
+    space, nothing ignorable -- where their digests do. Repeated rows stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(2).dictionary_encode()  # each distinct value of the batch once
+            forms = [hashlib.md5(folded_form(t).encode("utf-8", "surrogatepass")).hexdigest() for t in codes.dictionary.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, pa.string()).take(codes.indices)], ["field_name", "key", "form"])
+
+    return values.select("field_name", "key", "value").mapInArrow(run, "field_name string, key string, form string")
 
 
 def with_forms(df: DataFrame, column: str, *, visual: str = "visual", folded: str = "folded") -> DataFrame:

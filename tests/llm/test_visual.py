@@ -47,3 +47,16 @@ def test_empty_table_and_columns(spark):
     assert [(r.visual, r.folded) for r in visual.with_forms(df, "t").orderBy("n").collect()] == [("A", "a"), (None, None), ("A", "a")]
     with pytest.raises(ValueError):
         visual.with_forms(df.withColumnRenamed("n", "visual"), "t")
+
+
+def test_copies_of_a_value_with_one_variant(spark):
+    copies = spark.range(20_000).selectExpr("'f' as field_name", "cast(id as string) as key", "'abc' as value")
+    df = copies.unionByName(spark.createDataFrame([("f", "x", "ａbc")], "field_name string, key string, value string"))
+    got = visual.look_alike_pairs(df)
+    assert got.count() == 20_000 and got.where("key_b = 'x'").count() == 20_000
+
+
+def test_folded_classes(spark):
+    data = [("f", "1", "Straße  X²"), ("f", "2", "STRASSE x2"), ("f", "3", None), ("f", "4", ""), ("f", "5", "a​b"), ("f", "6", "AB")]
+    got = {r.key: r.form for r in visual.folded_classes(spark.createDataFrame(data, "field_name string, key string, value string")).collect()}
+    assert got["1"] == got["2"] and got["5"] == got["6"] and got["3"] is None and got["4"] is not None and len(set(got.values())) == 4
