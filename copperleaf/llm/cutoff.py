@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copperleaf.session import materialize
 
 MOST_FITTED = 8_000
 FEATURES = 2**14
-#: Above so many pieces the ids are decoded by a join instead of a broadcast table.
+#: Above so many pieces the ids are decoded by a join instead of a broadcast table; both ways give the same.
 MOST_PIECES = 500_000
 #: A limit: so many rows at the greatest length, so many times what the lengths just below have.
 CLEANINGS, CLEAN = 2, 0.0
@@ -84,30 +84,48 @@ def features(text: str) -> list[str]:
 WIDTH = 28  #: features of a row: those of the text and the flags, filled up
 
 
-def _row(text: str, flags: list[str]) -> list[int]:
-    names = [*features(text), *flags][:WIDTH]
-    return [zlib.crc32(n.encode("utf-8", "replace")) % (FEATURES - 1) + 1 for n in names] + [0] * (WIDTH - len(names))
+def _hashed(names: list[str]) -> list[int]:
+    return [zlib.crc32(n.encode("utf-8", "replace")) % (FEATURES - 1) + 1 for n in names]
+
+
+def _row(hashed: list[int], flags: list[str]) -> list[int]:
+    """Numbers of the features of a text, hashed, and of the flags."""
+    row = [*hashed, *_hashed(flags)][:WIDTH]
+    return row + [0] * (WIDTH - len(row))
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, whole, cut) of texts and their hashes: features of each and of it cut at a place that the hash decides on; texts stay in the task."""
+    for batch in batches:
+        rows = []
+        for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rng, cut = np.random.default_rng(h & (2**63 - 1)), None
+            if len(text) > 20:
+                cut = text[: int(rng.integers(len(text) // 10 + 1, len(text)))]
+                if rng.random() < 0.15:
+                    cut = cut.rstrip() + ("..." if rng.random() < 0.7 else "…")
+            rows.append((h, _hashed(features(text)), None if cut is None else _hashed(features(cut))))
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["h", "whole", "cut"])
 
 
 def _flags(at: tuple[bool, ...], after: bool | None) -> list[str]:
     return [f"at:{m}" for m, x in zip(MEASURES, at) if x] + (["at:none"] if not any(at) else []) + [f"after:{after}"]
 
 
-def fit(texts: list[str], limits: list[str], known: float, *, seed: int = 3, rounds: int = 400) -> np.ndarray:
-    """Weights, from intact texts, the measures that have limits, and the share of rows whose ids are known."""
+def fit(examples: list[tuple[list[int], list[int] | None]], limits: list[str], known: float, *, seed: int = 3, rounds: int = 400) -> np.ndarray:
+    """Weights, from the features of intact texts whole and cut, the measures that have limits, and the share of rows whose ids are known."""
     rng = np.random.default_rng(seed)
     rows, target = [], []
-    for text in texts:
+    for whole, cut in examples:
         after = False if rng.random() < known else None
-        rows.append(_row(text, _flags((False,) * 3, after)))
+        rows.append(_row(whole, _flags((False,) * 3, after)))
         target.append(0.0)
-        if len(text) > 20:
-            cut = text[: int(rng.integers(len(text) // 10 + 1, len(text)))]
+        if cut is not None:
             at = [False] * 3
             if limits and rng.random() < 0.5:
                 at[MEASURES.index(limits[int(rng.integers(len(limits)))])] = True
-            if rng.random() < 0.15:
-                cut = cut.rstrip() + ("..." if rng.random() < 0.7 else "…")
             rows.append(_row(cut, _flags(tuple(at), None if after is None else bool(rng.random() < 0.75))))
             target.append(1.0)
     x, y = np.array(rows), np.array(target)
@@ -133,35 +151,43 @@ def _share(histogram: np.ndarray, centers: np.ndarray) -> float:
 
 
 def limits(rows: DataFrame, source: list[str]) -> DataFrame:
-    """(source..., measure, limit) where rows pile up at the greatest length; ``rows`` has a column per measure."""
+    """(source..., measure, limit) where rows pile up at a length that few exceed; ``rows`` has a column per measure.
+
+    Of several such lengths the greatest counts. Complete values that are longer don't hide it, as long as they are
+    at most a quarter as many.
+    """
     long = rows.select(*source, F.explode(F.create_map(*[c for m in MEASURES for c in (F.lit(m), F.col(m).cast("long"))])).alias("measure", "value"))
     counts = long.where("value > 0").groupBy(*source, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(source)], "measure", "value", "n")
     keys = [f"s{i}" for i in range(len(source))]
-    top = counts.groupBy(*keys, "measure").agg(F.max("value").alias("limit"))
+    longer = Window.partitionBy(*keys, "measure").orderBy(F.col("value").desc())  # a row a length, not a row of the table
+    top = counts.withColumn("above", F.coalesce(F.sum("n").over(longer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    top = top.where((F.col("above") == 0) | ((F.col("n") >= 2 * PILE) & (F.col("above") * 4 <= F.col("n")))).withColumnRenamed("value", "limit").drop("n", "above")
     a, b = counts.alias("a"), top.alias("b")
     on = F.col("a.measure") == F.col("b.measure")
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     slack = F.when(F.col("b.measure") == "bytes", SLACK["bytes"]).otherwise(0)
-    here = F.col("a.value") >= F.col("b.limit") - slack
-    near = ~here & (F.col("a.value") >= F.col("b.limit") * 0.8)
+    here = F.col("a.value").between(F.col("b.limit") - slack, F.col("b.limit"))
+    near = (F.col("a.value") < F.col("b.limit") - slack) & (F.col("a.value") >= F.col("b.limit") * 0.8)
     both = a.join(b, on).groupBy(*[F.col(f"b.{k}") for k in keys], F.col("b.measure"), F.col("b.limit")).agg(
         F.sum(F.when(here, F.col("a.n")).otherwise(0)).alias("at"), F.sum(F.when(near, F.col("a.n")).otherwise(0)).alias("near")
     )
     usual = F.col("near") / (F.col("limit") * 0.2) * F.when(F.col("measure") == "bytes", SLACK["bytes"] + 1).otherwise(1)
-    return both.where((F.col("at") >= PILE) & (F.col("at") >= TIMES * usual)).select(*[F.col(k).alias(c) for k, c in zip(keys, source)], "measure", "limit")
+    piles = both.where((F.col("at") >= PILE) & (F.col("at") >= TIMES * usual)).groupBy(*keys, "measure").agg(F.max("limit").alias("limit"))
+    return piles.select(*[F.col(k).alias(c) for k, c in zip(keys, source)], "measure", "limit")
 
 
 def _decoded(rows: DataFrame, ids: str, pieces: DataFrame) -> DataFrame:
     """Adds ``__decoded``; null where ids are null or have an unknown piece. The way for vocabularies of any size."""
     numbered = rows.withColumn("__n", F.monotonically_increasing_id())
     numbered = materialize(numbered, "numbered")
-    each = numbered.select("__n", F.posexplode(ids).alias("__i", "token_id")).join(pieces.dropDuplicates(["token_id"]), "token_id", "left")
+    each = numbered.select("__n", F.posexplode(ids).alias("__i", "token_id")).join(pieces.groupBy("token_id").agg(F.max("piece").alias("piece")), "token_id", "left")
     whole = each.groupBy("__n").agg(
         F.when(F.count("piece") == F.count(F.lit(1)), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "piece"))), lambda x: x["piece"]), "")).alias("__decoded")
     )
-    return numbered.join(whole, "__n", "left").drop("__n")
+    out = numbered.join(whole, "__n", "left").drop("__n")
+    return out.withColumn("__decoded", F.when(F.size(F.col(ids)) == 0, "").otherwise(F.col("__decoded")))  # no ids are an empty text
 
 
 def scores(rows: DataFrame, key: list[str], source: list[str], text: str, ids: str, pieces: DataFrame) -> DataFrame:
@@ -179,15 +205,16 @@ def scores(rows: DataFrame, key: list[str], source: list[str], text: str, ids: s
     for i, c in enumerate(source):
         on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
     marked = base.join(wide, on, "left")
-    at = [F.coalesce(F.col(m) >= F.col(f"__{m}") - SLACK[m], F.lit(False)).alias(f"at_{m}") for m in MEASURES]
+    at = [F.coalesce(F.col(m).between(F.col(f"__{m}") - SLACK[m], F.col(f"__{m}")), F.lit(False)).alias(f"at_{m}") for m in MEASURES]
     small = pieces.where(F.col("token_id").isNotNull() & F.col("piece").isNotNull()).select("token_id", "piece")
     table = None
     if small.limit(MOST_PIECES + 1).count() <= MOST_PIECES:
-        table = spark.sparkContext.broadcast(dict(map(tuple, small.collect())))
+        table = spark.sparkContext.broadcast(dict(map(tuple, small.groupBy("token_id").agg(F.max("piece")).collect())))
         marked = marked.withColumn("__decoded", F.lit(None).cast("string"))
     else:
         marked = _decoded(marked, "__ids", small).withColumn("__ids", F.lit(None).cast("array<bigint>"))
-    marked = marked.select(*key, "__text", "__ids", "__decoded", *at)
+    h = F.when(F.col("__text") != "", F.xxhash64("__text"))
+    marked = marked.select(*key, "__text", "__ids", "__decoded", h.alias("h"), *at)
 
     def after(text: str, ids: list[int] | None, decoded: str | None) -> bool | None:
         if table is not None and ids is not None:
@@ -200,29 +227,34 @@ def scores(rows: DataFrame, key: list[str], source: list[str], text: str, ids: s
 
     def open_ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = [after(*x) for x in zip(*(batch.column(n + i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *batch.columns[n + 3 :], pa.array(flags, pa.bool_())], [*key, "__text", *[f"at_{m}" for m in MEASURES], "after"])
+            texts = batch.column(n).to_pylist()
+            flags = [after(*x) for x in zip(texts, *(batch.column(n + i).to_pylist() for i in (1, 2)))]
+            found = pa.array([_hashed(features(t)) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], found, *batch.columns[n + 3 :], pa.array(flags, pa.bool_())], [*key, "features", "h", *[f"at_{m}" for m in MEASURES], "after"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
-    ready = materialize(marked.mapInArrow(open_ended, f"{kinds}, __text string, " + ", ".join(f"at_{m} boolean" for m in MEASURES) + ", after boolean"), "ends")
+    ready = materialize(marked.mapInArrow(open_ended, f"{kinds}, features array<int>, h long, " + ", ".join(f"at_{m} boolean" for m in MEASURES) + ", after boolean"), "ends")
     limited = F.col("at_chars") | F.col("at_bytes") | F.col("at_tokens") | F.coalesce("after", F.lit(False))
-    intact = ready.where(~limited & (F.col("__text") != ""))
-    sample = intact.select("__text", F.col("after").isNotNull().alias("known")).dropDuplicates(["__text"])
-    sample = sample.orderBy(F.xxhash64("__text"), "__text").limit(MOST_FITTED).collect()
-    if not sample:
+    picked = ready.where(~limited & F.col("h").isNotNull()).groupBy("h").agg(F.max(F.col("after").isNotNull().cast("int")).alias("known"))
+    picked = picked.orderBy("h").limit(MOST_FITTED).collect()  # different texts by hash, without the texts
+    if not picked:
         return ready.groupBy(*key).agg(F.lit(0.0).alias("probability"))
     measures = sorted(r[0] for r in found.select("measure").distinct().collect())
-    texts, known = [r[0] for r in sample], sum(r[1] for r in sample) / len(sample)
-    fitted = fit(texts, measures, known)
+    chosen, known = spark.createDataFrame([(r[0],) for r in picked], "h long"), sum(r[1] for r in picked) / len(picked)
+    texts = base.select("__text", F.xxhash64("__text").alias("h")).where((F.col("__text") != "") & (F.col("h") <= picked[-1][0]))
+    texts = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("__text").alias("__text")).select("__text", "h")  # at most MOST_FITTED rows
+    rows_ = texts.mapInArrow(_examples, "h long, whole array<int>, cut array<int>").collect()
+    examples = [(r[1], r[2]) for r in sorted(rows_, key=lambda r: r[0])]
+    fitted = fit(examples, measures, known)
     for _ in range(CLEANINGS):  # rows cut in transfer show no limit: those that stand out aren't intact
-        score = np.array([fitted[_row(t, _flags((False,) * 3, None))].sum() for t in texts])
-        texts = [t for t, s in zip(texts, score) if s < CLEAN] or texts
-        fitted = fit(texts, measures, known)
+        score = np.array([fitted[_row(whole, _flags((False,) * 3, None))].sum() for whole, _ in examples])
+        examples = [e for e, s in zip(examples, score) if s < CLEAN] or examples
+        fitted = fit(examples, measures, known)
     weights = spark.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [_row(t, _flags(f[:3], f[3])) for t, *f in zip(*(batch.column(n + i).to_pylist() for i in range(5)))]
+            x = [_row(t, _flags(f[:3], f[3])) for t, *f in zip(*(batch.column(n + i).to_pylist() for i in (0, 2, 3, 4, 5)))]
             s = weights.value[np.array(x)].sum(axis=1) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s)], [*key, "score"])
 

@@ -57,3 +57,22 @@ def test_empty_table(spark):
     pieces = spark.createDataFrame([], "token_id long, piece string")
     assert cutoff.cut_generations(spark.createDataFrame([], SCHEMA), pieces).collect() == []
     assert cutoff.cut_rates(spark.createDataFrame([], SCHEMA), pieces).collect() == []
+
+
+def test_vocabularies_of_any_size_read_ids_the_same_way(spark, monkeypatch):
+    rows, _ = data(4)
+    vocabulary = {c: i for i, c in enumerate("abcdefghABCDEFGH. ")}
+    full = [(a, b, c, d, t, [vocabulary[x] for x in t] if len(t) % 3 else []) for a, b, c, d, t, _ in rows[:300]]
+    full += [("a", "q", "none", 0, "", []), ("a", "q", "unknown", 0, "Abc abd.", [999])]
+    pieces = spark.createDataFrame([(i, c) for c, i in vocabulary.items()], "token_id long, piece string")
+    df = spark.createDataFrame(full, SCHEMA)
+    score = lambda: {r.item_id: round(r.probability, 9) for r in cutoff.scores(df, cutoff.KEY, ["model"], "text", "token_ids", pieces).collect()}
+    small = score()
+    monkeypatch.setattr(cutoff, "MOST_PIECES", 1)
+    assert score() == small and len(small) == 302
+
+
+def test_a_longer_row_hides_no_limit(spark):
+    rows = [("a", n, n, None) for n in list(range(1, 100)) + [100] * 20 + [130, 171]]
+    got = {tuple(r) for r in cutoff.limits(spark.createDataFrame(rows, "s string, chars int, bytes int, tokens int"), ["s"]).collect()}
+    assert ("a", "chars", 100) in got
