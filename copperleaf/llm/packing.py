@@ -218,6 +218,20 @@ def _fill(placed: DataFrame, small: DataFrame, capacity: int, main: int, blocks:
     return left.unionByName(todo).groupBy("block").applyInPandas(fit, f"__k {kind}, piece long, start long, n long, sequence_id long")
 
 
+def check_report(packed: DataFrame, key: str, capacity: int) -> DataFrame:
+    """One row on the result of ``pack`` with different keys: documents, containers above capacity, items up to capacity
+    that are split, pieces that overlap or leave a gap in their container, items whose pieces don't follow each other."""
+    by_container = Window.partitionBy("sequence_id").orderBy("position", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    by_item = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    off = lambda at, w: (F.col(at) != F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).cast("long")
+    rows = packed.withColumn("overlapping", F.when(F.col("n_tokens") > 0, off("position", by_container)).otherwise(0)).withColumn("gap", off("start", by_item))
+    items = rows.groupBy(key).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("size"))
+    split = items.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(((F.col("pieces") > 1) & (F.col("size") <= capacity)).cast("long")), F.lit(0)).alias("split_small"))
+    full = rows.groupBy("sequence_id").agg(F.sum("n_tokens").alias("n")).agg(F.coalesce(F.sum((F.col("n") > capacity).cast("long")), F.lit(0)).alias("overfull"))
+    other = rows.agg(F.coalesce(F.sum("overlapping"), F.lit(0)).alias("overlapping"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gaps"))
+    return split.crossJoin(full).crossJoin(other).select("documents", "overfull", "split_small", "overlapping", "gaps")  # one row each
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers used, the fewest that the total size allows, and the share of room used."""
     total = packed.agg(F.count_distinct("sequence_id").alias("sequences"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))

@@ -75,6 +75,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.look_alike_pairs(_read_values(spark, sf_dir))
 
 
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value's class in the named method: NFKC, full case folding, one kind of white space, nothing ignorable."""
+    return visual.folded_classes(_read_values(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -92,6 +97,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), CAPACITY)
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents packed, and how often a rule of packing is broken."""
+    return packing.check_report(_packed(spark, sf_dir), "doc_id", CAPACITY)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
@@ -113,9 +123,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_share": p4_share,
     "p5_found": p5_found,
+    "p5_forms": p5_forms,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
@@ -135,5 +147,6 @@ WITH best AS (
 
 ORACLES: dict[str, str] = {
     "p1_found": _BEST + "SELECT item_id, document_id FROM ranked WHERE rank <= 10",
+    "p7_checks": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_small, 0::BIGINT AS overlapping, 0::BIGINT AS gaps FROM documents",
     "p1_ranked": _BEST + "SELECT item_id, document_id, retrieval_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
 }

@@ -209,8 +209,8 @@ def score_texts(numbers: _Numbers, model: Model, texts: list[str]) -> list[float
     return out
 
 
-def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of every row: the greatest score of its passages; THRESHOLD and more is toxic."""
+def scores(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(``keep``..., score) of every row: the greatest score of its passages; THRESHOLD and more is toxic."""
     spark = documents.sparkSession
     votes = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic"))
     known = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -218,7 +218,7 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = materialize(known.join(broadcast_if_small(votes), "doc_id").select("text", "toxic"), "labelled")
     shared = spark.sparkContext.broadcast(fit(known))
     discard(known)
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -226,11 +226,11 @@ def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(0).to_pylist()]
                 out = score_texts(numbers, fitted[1], texts) if fitted else [None] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.float64())], [*keep, "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return documents.select("text", *keep).mapInArrow(run, f"{kinds}, score double")
 
 
 def toxic_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,6 +240,6 @@ def toxic_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rates(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(source, n_documents, n_toxic, rate): every source, a null source as one of its own."""
-    scored = documents.select("doc_id", "source").join(scores(documents, labels), "doc_id", "left")
+    scored = scores(documents, labels, ("source",))
     toxic = F.coalesce((F.col("score") >= THRESHOLD).cast("int"), F.lit(0))
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(toxic).alias("n_toxic"), F.avg(toxic).alias("rate"))

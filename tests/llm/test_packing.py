@@ -59,3 +59,12 @@ def test_configurations_hold_what_is_needed():
         assert (sum(t * c for t, c in plan) == need).all()
         bound = max((sizes * need).sum() / 100, need[sizes > 50].sum())
         assert sum(t for t, _ in plan) <= 1.25 * bound + len(sizes)
+
+
+def test_check_report_finds_broken_rules(spark):
+    kinds = "doc_id long, piece long, start long, n_tokens long, sequence_id long, position long"
+    good = [(1, 0, 0, 6, 0, 0), (2, 0, 0, 4, 0, 6), (3, 0, 0, 10, 1, 0), (3, 1, 10, 3, 2, 0), (4, 0, 0, 0, 2, 0)]
+    report = lambda rows: tuple(packing.check_report(spark.createDataFrame(rows, kinds), "doc_id", 10).first())
+    assert report(good) == (4, 0, 0, 0, 0)
+    assert report([(1, 0, 0, 6, 0, 0), (2, 0, 0, 5, 0, 5)]) == (2, 1, 0, 1, 0)
+    assert report([(1, 0, 0, 6, 0, 0), (1, 1, 7, 1, 1, 0)]) == (1, 0, 1, 0, 1)

@@ -50,3 +50,12 @@ def test_all_scores_tie_in_a_heavy_group(spark):
     df = spark.range(5000).selectExpr("'g' as grp", "0.5 as s", "cast(id as string) as t")
     got = [r.t for r in topn.top_n_per_group(df, "grp", "s", ["t"], 3, heavy_rows=10).orderBy("rank").collect()]
     assert got == ["999", "998", "997"]
+
+
+def test_heavy_group_by_default_and_many_salts(spark):
+    df = spark.range(3 * topn.HEAVY_ROWS).selectExpr("if(id % 3 = 0, 'g', 'h') as grp", "cast(id % 7 as double) as s", "cast(id as string) as t")
+    want = [(r.grp, r.t, r["rank"]) for r in topn.top_n_per_group(df, "grp", "s", ["t"], 4, heavy_rows=10**9).orderBy("grp", "rank").collect()]
+    for salt_rows in (50, topn.SALT_ROWS):
+        got = topn.top_n_per_group(df, "grp", "s", ["t"], 4, salt_rows=salt_rows)
+        assert [(r.grp, r.t, r["rank"]) for r in got.orderBy("grp", "rank").collect()] == want
+    assert "Union" in got._jdf.queryExecution().toString()
