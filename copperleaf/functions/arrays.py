@@ -39,6 +39,7 @@ def token_edits(a: Column, b: Column, most: int | None = None) -> Column:
     The different ids of both become characters (up to 200, all of one UTF-16 unit), so the built-in distance applies.
     """
     known = F.array_distinct(F.concat(a, b))
+    known = F.when(F.size(known) <= 255, known).when(known.isNotNull(), F.raise_error(F.lit("more than 255 different ids")).cast("array<bigint>"))
 
     def spelled(ids: Column) -> Column:
         return F.array_join(F.transform(ids, lambda x: F.char((F.array_position(known, x) % 256).cast("long"))), "")

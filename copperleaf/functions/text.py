@@ -28,7 +28,15 @@ INNER_KEYS = ("content", "reasoning_content", "text")
 
 
 def normalize_exact(text: Column) -> Column:
-    """NFKC, full case folding, white space runs as one space: exact, by Arrow batches."""
+    """NFKC, full case folding, white space runs as one space: exact.
+
+    ASCII text has no compatibility forms and stays inside whole-stage code; the rest goes by Arrow batches.
+    """
+    plain = (F.octet_length(text) == F.char_length(text)) & ~F.rlike(text, F.lit(r"[\x{1c}-\x{1f}]"))
+    return F.when(plain, normalize(text)).otherwise(_normalize_batches(F.when(~plain, text)))
+
+
+def _normalize_batches(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:

@@ -21,14 +21,14 @@ def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def benchmark(items: DataFrame, n: int = NGRAM, *, exact: bool = False) -> DataFrame:
+def benchmark(items: DataFrame, n: int = NGRAM, *, exact: bool = True) -> DataFrame:
     """(dataset, item_id, query, query_tokens, query_grams) of each item; ``query_grams`` are different hashes."""
     once = items.select(*ITEM, "prompt").dropDuplicates(ITEM)
     ready = T.with_tokens(once, "prompt", exact=exact, normalized="query", out="query_tokens")
     return ready.select(*ITEM, "query", "query_tokens", F.array_distinct(T.gram_hashes(F.col("query_tokens"), n)).alias("query_grams"))
 
 
-def corpus(documents: DataFrame, *, exact: bool = False) -> DataFrame:
+def corpus(documents: DataFrame, *, exact: bool = True) -> DataFrame:
     """(document_id as string, normalized, tokens)."""
     return T.with_tokens(documents.select(F.col("doc_id").cast("string").alias("document_id"), "text"), "text", exact=exact).drop("text")
 
@@ -72,11 +72,12 @@ def short_matches(documents: DataFrame, queries: DataFrame, n: int = NGRAM) -> D
 
 
 def evidence(
-    items: DataFrame, documents: DataFrame, *, n: int = NGRAM, coverage: float = COVERAGE, best: int | None = 5, exact: bool = False, negatives: bool = False
+    items: DataFrame, documents: DataFrame, *, n: int = NGRAM, coverage: float = COVERAGE, best: int | None = 5, exact: bool = True, negatives: bool = False
 ) -> DataFrame:
     """Ranked evidence of each item, best first: verbatim, coverage, matched n-grams, document id as a string, all descending.
 
-    With ``negatives`` an item without evidence has one row with nulls and rank 1.
+    With ``negatives`` an item without evidence has one row with nulls and rank 1. Without ``exact`` text is normalised
+    inside whole-stage code throughout, which joins no compatibility forms such as full-width letters.
     """
     queries = benchmark(items, n, exact=exact)
     pairs = matches(corpus(documents, exact=exact), queries, n)

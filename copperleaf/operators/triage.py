@@ -19,6 +19,13 @@ def route(score: Column, high: float = TRIAGE_HIGH, low: float = TRIAGE_LOW) ->
     return F.when(bad, F.raise_error(F.lit("similarity outside [0, 1]")).cast("string")).when(score >= high, "direct_fi").when(score <= low, "direct_u").otherwise("verify")
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    if not (np.isfinite(size) & (size > 0)).all():
+        raise ValueError("vector is zero or not finite")
+    return rows / size
+
+
 def block_cosine(queries: DataFrame, vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float, block: int = 1_000, most: int = 100_000) -> DataFrame:
     """(query_id, vec_id, score) of the pairs of a stated query set and all vectors with a clipped cosine of ``least`` or more.
 
@@ -33,8 +40,7 @@ def block_cosine(queries: DataFrame, vectors: DataFrame, *, key: str = "vec_id",
     for start in range(0, len(q), block):
         part = q[start : start + block]
         ids = [r[0] for r in part]
-        m = np.array([r[1] for r in part], np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        m = _unit(np.array([r[1] for r in part], np.float64))
         shared = vectors.sparkSession.sparkContext.broadcast((ids, m))
 
         def run(batches, shared=shared):
@@ -42,8 +48,7 @@ def block_cosine(queries: DataFrame, vectors: DataFrame, *, key: str = "vec_id",
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(np.stack(pdf[vector].to_numpy()).astype(np.float64))
                 s = np.clip(x @ m.T, 0, 1)
                 i, j = np.nonzero(s >= least)
                 own = pdf[key].to_numpy()[i]
@@ -81,18 +86,26 @@ def run_pairs(
 ) -> DataFrame:
     """The whole stage over pairs with normalised descriptions. ``verify`` and ``screen`` are column functions, as a rule Arrow UDFs.
 
-    Rows are parted by route before anything costly, so it sees only those that need it; screening sees labels other than U.
+    Rows are parted by route before anything costly, so it sees only those that need it; screening sees labels other
+    than U. An answer in another form is an error. The raw outputs of verification and screening stay.
     """
     b, t = F.col("normalized_benchmark_description"), F.col("normalized_training_description")
     routed = pairs.withColumn("embedding_score", embedding_score).withColumn("triage_route", route(F.col("embedding_score"), high, low))
     direct = routed.where("triage_route <> 'verify'").withColumn("raw_verification_output", F.lit(None).cast("string"))
     direct = direct.withColumn("pre_screen_label", F.when(F.col("triage_route") == "direct_fi", "FI").otherwise("U"))
     asked = routed.where("triage_route = 'verify'").withColumn("raw_verification_output", verify(b, t))
-    asked = asked.withColumn("pre_screen_label", T.fine_label(F.col("raw_verification_output")))
+    asked = asked.withColumn("pre_screen_label", _parsed(T.fine_label(F.col("raw_verification_output")), "the verifier's answer"))
     labelled = direct.unionByName(asked)
-    plain = labelled.where("pre_screen_label = 'U'").withColumns({"benchmark_is_trivial": F.lit(None).cast("boolean"), "training_is_trivial": F.lit(None).cast("boolean")})
-    screened = labelled.where("pre_screen_label <> 'U'").withColumns({"benchmark_is_trivial": T.trivial_decision(screen(b)), "training_is_trivial": T.trivial_decision(screen(t))})
+    unknown = {f"{s}_{c}": F.lit(None).cast(k) for s in ("benchmark", "training") for c, k in (("trivial_output", "string"), ("is_trivial", "boolean"))}
+    plain = labelled.where("pre_screen_label = 'U'").withColumns(unknown)
+    screened = labelled.where("pre_screen_label <> 'U'").withColumns({"benchmark_trivial_output": screen(b), "training_trivial_output": screen(t)})
+    screened = screened.withColumns({f"{s}_is_trivial": _parsed(T.trivial_decision(F.col(f"{s}_trivial_output")), "the screener's answer") for s in ("benchmark", "training")})
     return finalize(plain.unionByName(screened))
 
 
+def _parsed(value: Column, what: str) -> Column:
+    """The value of an answer; an answer in another form is an error, so that no pair is lost without a word."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{what} has another form than asked for")))
+
+
 __all__ = ["block_cosine", "cached_map", "finalize", "route", "run_pairs"]

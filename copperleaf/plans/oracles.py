@@ -130,7 +130,8 @@ FROM (SELECT DISTINCT model, quant, item_id, sample_id, text FROM generations)""
 SELECT model, detector, dataset, count(*) AS n_pairs, round(avg(t - b), 6) AS mean_shift,
   round(CASE WHEN stddev_samp(t - b) = 0 THEN 0.0 ELSE avg(t - b) / stddev_samp(t - b) END, 6) AS cohens_d
 FROM j GROUP BY ALL HAVING count(*) >= 2""",
-    "auc_shift": f"""WITH {_LOGPROBS}, {_PAIRED},
+    # only the items before and after the boundary are analysed, other datasets aren't pooled with them
+    "auc_shift": f"""WITH {_LOGPROBS}, {_PAIRED.replace("WHERE b IS NOT NULL", "WHERE dataset IN ('lcb_pre', 'lcb_post') AND b IS NOT NULL")},
 a AS (SELECT x.model, x.detector, avg(CASE WHEN x.b > y.b THEN 1.0 WHEN x.b = y.b THEN 0.5 ELSE 0 END) AS ab, avg(CASE WHEN x.t > y.t THEN 1.0 WHEN x.t = y.t THEN 0.5 ELSE 0 END) AS at_
       FROM j x JOIN j y ON x.model = y.model AND x.detector = y.detector AND x.contamination_proxy AND NOT y.contamination_proxy GROUP BY ALL),
 r AS (SELECT model, detector, count(*) AS n_pairs, CASE WHEN count(*) >= 2 THEN CASE WHEN min(b) = max(b) OR min(t) = max(t) THEN 0.0 ELSE corr(b, t) END END AS r FROM j GROUP BY ALL)
@@ -139,6 +140,12 @@ SELECT model, detector, n_pairs, round(ab, 6) AS auc_baseline, round(at_, 6) AS
 FROM {_GENS_ONCE} JOIN {_LABELS} USING (item_id) WHERE is_greedy AND passed IS NOT NULL GROUP BY ALL""",
     "rates_by_label": f"WITH {_CONTRASTS} SELECT contrast, quant, contaminated, round(avg(correct), 6) AS rate FROM rows_ GROUP BY ALL",
     "did": f"WITH {_CONTRASTS} SELECT * FROM (SELECT contrast, round({_DID}, 4) AS did_pp FROM rows_ GROUP BY contrast) WHERE did_pp IS NOT NULL",
+    # pairs are (model, item) with an outcome at both precisions
+    "q2_summary": f"""WITH {_CONTRASTS},
+p AS (SELECT contrast, model, item_id, max(correct) FILTER (quant = 'bf16') AS b, max(correct) FILTER (quant = 'bnb_nf4') AS t FROM rows_ GROUP BY ALL),
+r AS (SELECT contrast, count(*) AS n_pairs, CASE WHEN min(b) = max(b) OR min(t) = max(t) THEN 0.0 ELSE corr(b, t) END AS r FROM p GROUP BY contrast),
+d AS (SELECT contrast, {_DID} AS did_pp FROM rows_ GROUP BY contrast)
+SELECT contrast, round(did_pp, 4) AS did_pp, n_pairs, round(r, 6) AS r FROM d JOIN r USING (contrast) WHERE did_pp IS NOT NULL""",
     "did_by_difficulty": f"""WITH {_CONTRASTS}
 SELECT * FROM (SELECT contrast, difficulty, round({_DID}, 4) AS did_pp FROM rows_ WHERE difficulty IS NOT NULL GROUP BY ALL HAVING count(DISTINCT contaminated) = 2) WHERE did_pp IS NOT NULL""",
     "timing": f"""WITH g AS (SELECT * FROM {_GENS_ONCE} WHERE is_greedy),
@@ -220,7 +227,7 @@ SELECT path, CASE WHEN fp IS NOT NULL THEN 'running' ELSE status END AS status,
 FROM r LEFT JOIN f ON path = fp""",
     "shards_unfinished": "SELECT path FROM shards WHERE coalesce(status <> 'complete', true)",
     "new_shards": """
-WITH l AS (SELECT shard AS path, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS size_bytes, CASE WHEN contains(shard, 'software') THEN 0 ELSE 1 END AS priority
+WITH l AS (SELECT shard AS path, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS size_bytes, CASE WHEN contains(lower(shard), 'software') THEN 0 ELSE 1 END AS priority
            FROM documents WHERE shard IS NOT NULL GROUP BY shard),
 k AS (SELECT path, size_bytes, priority, status, attempts FROM shards WHERE priority = 0)
 SELECT * FROM k UNION ALL SELECT path, size_bytes, priority, 'pending', 0 FROM l WHERE path NOT IN (SELECT path FROM k)""",

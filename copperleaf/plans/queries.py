@@ -21,7 +21,8 @@ def _r(c: str, digits: int = 6):
 
 
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ngram.evidence(table(spark, sf_dir, "items"), table(spark, sf_dir, "documents"))
+    """In the form of normalisation that SQL can follow; ``contamination_scan_exact`` has the library's default."""
+    rows = ngram.evidence(table(spark, sf_dir, "items"), table(spark, sf_dir, "documents"), exact=False)
     return rows.select(
         "dataset", "item_id", "document_id", "normalized_verbatim", _r("ngram_coverage"), "matched_ngrams", "query_ngrams", "exact_char_start", "matched_token_start",
         "matched_ngram_example", "match_context", "string_match_label", "candidate_rank",
@@ -29,13 +30,13 @@ def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination_scan_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.evidence(table(spark, sf_dir, "items"), table(spark, sf_dir, "documents"), exact=True, negatives=True)
+    return ngram.evidence(table(spark, sf_dir, "items"), table(spark, sf_dir, "documents"), negatives=True)
 
 
 def short_query_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim containment alone: with n-grams of 200 tokens every prompt is short."""
-    queries = ngram.benchmark(table(spark, sf_dir, "items"), 200)
-    return ngram.short_matches(ngram.corpus(table(spark, sf_dir, "documents")), queries, 200)
+    queries = ngram.benchmark(table(spark, sf_dir, "items"), 200, exact=False)
+    return ngram.short_matches(ngram.corpus(table(spark, sf_dir, "documents"), exact=False), queries, 200)
 
 
 def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +116,27 @@ def auc_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("model", "detector", "n_pairs", _r("auc_baseline"), _r("auc_target"), _r("auc_shift"), _r("r"))
 
 
+def _q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pilot.q2_summary(_contrasts(spark, sf_dir), BASELINE, TARGET)
+
+
+def q2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _q2(spark, sf_dir).select("contrast", _r("did_pp", 4), "n_pairs", _r("r"))
+
+
+def gate_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of the peakedness detector, by model."""
+    rows = pilot.auc_shift(detectors.detector_scores(table(spark, sf_dir, "generations")), table(spark, sf_dir, "items"), BASELINE, TARGET)
+    return pilot.gate_record(rows).select("model", _r("measured_auc"), "threshold", "passed", _r("assumed_fall"), _r("detection_limit"))
+
+
+def power_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that would detect what was seen, by analysis."""
+    scores, items = detectors.detector_scores(table(spark, sf_dir, "generations")), table(spark, sf_dir, "items")
+    shift = pairing.score_shift(scores, items, BASELINE, TARGET)
+    return pilot.power_recompute(shift, pilot.auc_shift(scores, items, BASELINE, TARGET), _q2(spark, sf_dir)).withColumn("observed", F.round("observed", 6))
+
+
 def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.base_rates(table(spark, sf_dir, "generations"), table(spark, sf_dir, "items")).select("model", "quant", "dataset", "n", _r("pass_rate"))
 
@@ -266,7 +288,7 @@ def shards_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "documents").where("shard is not null").groupBy("shard").agg(F.sum(F.coalesce("n_chars", F.lit(0))).alias("size_bytes"))
-    listed = listed.select(F.col("shard").alias("path"), "size_bytes", F.when(F.contains("shard", F.lit("software")), 0).otherwise(1).alias("priority"))
+    listed = listed.select(F.col("shard").alias("path"), "size_bytes", readers.shard_priority(F.col("shard")).alias("priority"))
     known = table(spark, sf_dir, "shards").where("priority = 0")
     return shards.add_new(known, listed).select("path", "size_bytes", "priority", "status", "attempts")
 

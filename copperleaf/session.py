@@ -44,6 +44,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="copperleaf-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         _SCRATCH[app] = f"{base.rstrip('/')}/copperleaf-{app}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperleaf import schemas
@@ -90,6 +90,11 @@ def read_records(spark: SparkSession, path: str, schema: str, kind: str) -> Data
 
 
 def list_shards(spark: SparkSession, folder: str, suffix: str = ".jsonl.zst") -> DataFrame:
-    """(path, size_bytes, priority): files by suffix with their size; software first."""
+    """(path, size_bytes, priority): files by suffix with their size; those whose name inside the folder has software in any case come first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
-    return files.select("path", F.col("length").alias("size_bytes"), F.when(F.contains("path", F.lit("software")), 0).otherwise(1).alias("priority"))
+    inside = F.substring_index("path", folder.rstrip("/") + "/", -1)
+    return files.select("path", F.col("length").alias("size_bytes"), shard_priority(inside).alias("priority"))
+
+
+def shard_priority(name: Column) -> Column:
+    return F.when(F.contains(F.lower(name), F.lit("software")), 0).otherwise(1)

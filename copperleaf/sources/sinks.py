@@ -51,10 +51,14 @@ def read_manifest(path: str) -> dict:
 
 
 def generation_keys(rows: DataFrame) -> DataFrame:
-    """Adds the content address of a generation: what its cache is keyed by."""
+    """Adds the content address of a generation: what its cache is keyed by, the prompt itself included.
+
+    ``model_revision`` and ``generation_config`` count as empty where the table lacks them.
+    """
     from copperleaf.functions.text import digest
 
-    return rows.withColumn("cache_key", digest(*[F.col(c) for c in ("model", "model_revision", "quant", "item_id", "sample_id", "decoding_temperature")]))
+    fields = ("model", "quant", "item_id", "is_greedy", "sample_id", "prompt", "decoding_temperature", "model_revision", "generation_config")
+    return rows.withColumn("cache_key", digest(*[F.col(c) if c in rows.columns or c not in fields[-2:] else F.lit("") for c in fields]))
 
 
 def uncached(rows: DataFrame, cache: DataFrame) -> DataFrame:

@@ -114,6 +114,41 @@ def test_pilot(spark):
     assert {r.table for r in validate.completeness(items, gens, scores, models=1, quants=1, n_items=1, samples=1).collect()} == {"items", "generations", "detector_scores"}
 
 
+def test_auc_shift_takes_only_the_primary_contrast(spark):
+    items, _, scores = pilot_tables(spark)
+    more = spark.createDataFrame([(f"h{k}", "humaneval", k > 1, None) for k in range(4)], items.schema)
+    far = scores.where("item_id in ('i0', 'i1', 'i2', 'i3')").withColumn("item_id", F.translate("item_id", "i", "h")).withColumn("score", F.rand(3) + 5)
+    got = {tuple(r) for r in pilot.auc_shift(scores.union(far), items.union(more), "bf16", "bnb_nf4").collect()}
+    assert got == {tuple(r) for r in pilot.auc_shift(scores, items, "bf16", "bnb_nf4").collect()} and got
+
+
+def test_gate_and_power_of_a_pilot(spark):
+    items, gens, scores = pilot_tables(spark)
+    config = {"n_items": 8, "models": ["m1", "m2"], "quant_levels": ["bf16", "bnb_nf4"], "n_cdd_samples": 0}
+    with pytest.raises(ValueError, match="incomplete"):
+        pilot.analyse(items, gens, scores, config=config)  # five detectors are expected
+    out = pilot.analyse(items, gens, scores)
+    gate = out["gate_record"].collect()
+    assert {(r.threshold, r.passed) for r in gate} == {(0.7936, r.measured_auc >= 0.7936) for r in gate} and all(r.assumed_fall > 0 and r.detection_limit > 0 for r in gate)
+    power = out["power_recompute"].collect()
+    assert {r.analysis for r in power} == {"q1a", "q1b", "q2"}
+    assert all((r.required_items is None) == (r.observed == 0) for r in power if r.analysis != "q1b")
+    q2 = out["q2_summary"].first()
+    assert q2.n_pairs == 16 and abs(q2.did_pp) < 1e-9 and 0 < q2.r < 1
+    with pytest.raises(ValueError, match="no difficulty"):
+        pilot.analyse(items.withColumn("difficulty", F.col("dataset")), gens, scores)
+
+
+def test_answers_in_another_form_lose_no_pair(spark):
+    pairs = spark.createDataFrame([(1, "a", "b", 0.7)], "pair_id int, normalized_benchmark_description string, normalized_training_description string, s double")
+    fine, bad = (lambda *c: F.lit("Answer: A")), (lambda *c: F.lit("perhaps"))
+    no = lambda c: F.lit("Decision: No\nReasoning: it isn't")
+    assert triage.run_pairs(pairs, F.col("s"), fine, no).first().benchmark_trivial_output.startswith("Decision: No")
+    for verify, screen in ((bad, no), (fine, bad)):
+        with pytest.raises(Exception, match="another form"):
+            triage.run_pairs(pairs, F.col("s"), verify, screen).collect()
+
+
 def test_triage(spark):
     df = spark.createDataFrame([(0.9,), (0.6,), (0.75,)], "s double")
     assert [r.x for r in df.select(triage.route(F.col("s")).alias("x")).collect()] == ["direct_fi", "direct_u", "verify"]
@@ -130,6 +165,8 @@ def test_triage(spark):
 
 def test_block_cosine(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [-1.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="zero or not finite"):
+        triage.block_cosine(v.where("vec_id < 2"), spark.createDataFrame([(5, [0.0, 0.0])], v.schema), least=0.5).collect()
     for block in (1, 10):
         assert {(r.query_id, r.vec_id) for r in triage.block_cosine(v.where("vec_id < 2"), v, least=0.5, block=block).collect()} == {(0, 1), (1, 0)}
 

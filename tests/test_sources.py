@@ -59,6 +59,11 @@ def test_documents_and_records(spark, tmp_path):
     zstandard = pytest.importorskip("zstandard")
     lines = '{"id": "a", "text": "x"}\n\n{"text": "y", "source": "s"}\n'
     os.makedirs(f"{tmp_path}/software")
+    os.makedirs(f"{tmp_path}/SoftWare-b/x")
+    open(f"{tmp_path}/SoftWare-b/x/q.jsonl.zst", "wb").write(b"1")
+    assert {(r.path[-1:], r.priority) for r in readers.list_shards(spark, f"{tmp_path}/SoftWare-b").collect()} == {("t", 1)}
+    assert [r.priority for r in readers.list_shards(spark, str(tmp_path)).collect()] == [0]
+    os.remove(f"{tmp_path}/SoftWare-b/x/q.jsonl.zst")
     with open(f"{tmp_path}/software/p.jsonl.zst", "wb") as f:
         f.write(zstandard.ZstdCompressor().compress(lines.encode()))
     listed = readers.list_shards(spark, str(tmp_path)).collect()
@@ -102,7 +107,10 @@ def test_manifest(tmp_path):
 
 
 def test_generation_cache(spark):
-    rows = spark.createDataFrame([("m", None, "q", "i", 0, 0.0), ("m", "r", "q", "i", 1, 0.8)], "model string, model_revision string, quant string, item_id string, sample_id int, decoding_temperature double")
+    kinds = "model string, model_revision string, quant string, item_id string, sample_id int, decoding_temperature double, is_greedy boolean, prompt string"
+    rows = spark.createDataFrame([("m", None, "q", "i", 0, 0.0, True, "p"), ("m", "r", "q", "i", 1, 0.8, False, "p")], kinds)
+    changed = sinks.generation_keys(rows.withColumn("prompt", F.lit("another prompt")))
+    assert changed.join(sinks.generation_keys(rows), "cache_key").count() == 0
     keyed = sinks.generation_keys(rows)
     assert keyed.select("cache_key").distinct().count() == 2
     assert [r.sample_id for r in sinks.uncached(keyed, keyed.where("sample_id = 0")).collect()] == [1]
@@ -117,6 +125,9 @@ def test_incremental_scan_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder)
         scan.scan(spark, folder, "doc_id long, text string", items, out, n=3, best=2).awaitTermination()
     scan.scan(spark, folder, "doc_id long, text string", items, out, n=3, best=2).awaitTermination()
+    for other in ({"items": items.limit(1)}, {"n": 4}):
+        with pytest.raises(ValueError, match="another configuration"):
+            scan.scan(spark, folder, "doc_id long, text string", **({"items": items, "out": out, "n": 3, "best": 2} | other))
     columns = ["dataset", "item_id", "document_id", "candidate_rank", "ngram_coverage"]
     got = {tuple(r) for r in scan.best_evidence(spark, out).select(columns).collect()}
     assert got == {tuple(r) for r in ngram.evidence(items, spark.createDataFrame(docs, "doc_id long, text string"), n=3, best=2).select(columns).collect()}
