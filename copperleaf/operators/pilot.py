@@ -18,6 +18,9 @@ CONTRASTS = {"lcb_pre_vs_lcb_post": ("lcb_pre", "lcb_post"), "humaneval_vs_lcb_p
 
 PRIMARY = CONTRASTS["lcb_pre_vs_lcb_post"]
 
+#: An effect below comes from rounding.
+LEAST_SEEN = 1e-18
+
 
 def auc_shift(scores: DataFrame, items: DataFrame, baseline: str, target: str) -> DataFrame:
     """(model, detector, n_pairs, auc_baseline, auc_target, auc_shift, r) over complete pairs of the items before and
@@ -70,7 +73,8 @@ def gate_record(aucs: DataFrame, threshold: float = GATE_AUC) -> DataFrame:
 
 def power_recompute(score_shift: DataFrame, aucs: DataFrame, q2: DataFrame) -> DataFrame:
     """(analysis, model, detector, dataset, observed, required_items): items that would detect what the pilot saw;
-    null where nothing was seen, or where both precisions agree in full. Q1 takes the primary detectors."""
+    null where nothing was seen, be it by rounding alone (more items than a long holds), or where both precisions agree
+    in full. Q1 takes the primary detectors."""
     main = F.col("detector").isin(*PRIMARY_DETECTORS)
     none = F.lit(None).cast("string")
     a = score_shift.where(main).select(F.lit("q1a").alias("analysis"), "model", "detector", "dataset", F.abs("cohens_d").alias("observed"), F.lit(None).cast("double").alias("auc"), F.lit(None).cast("double").alias("r"))
@@ -80,9 +84,10 @@ def power_recompute(score_shift: DataFrame, aucs: DataFrame, q2: DataFrame) -> D
     @F.pandas_udf("double")
     def required(analysis: pd.Series, observed: pd.Series, auc: pd.Series, r: pd.Series) -> pd.Series:
         def one(kind, x, auc, r):
-            if pd.isna(x) or x == 0 or (kind == "q1b" and (pd.isna(auc) or pd.isna(r) or r >= 1)):
+            if pd.isna(x) or x < LEAST_SEEN or (kind == "q1b" and (pd.isna(auc) or pd.isna(r) or r >= 1)):
                 return None
-            return float({"q1a": lambda: stats.items_for_effect(x), "q1b": lambda: stats.items_for_delta_auc(auc, x, r), "q2": lambda: stats.items_for_did(x)}[kind]())
+            n = float({"q1a": lambda: stats.items_for_effect(x), "q1b": lambda: stats.items_for_delta_auc(auc, x, r), "q2": lambda: stats.items_for_did(x)}[kind]())
+            return n if n < 2.0**63 else None
 
         return pd.Series([one(*row) for row in zip(analysis, observed, auc, r)], dtype=float)
 

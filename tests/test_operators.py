@@ -212,3 +212,13 @@ def test_coverage_rules(spark):
     bad = [("r", "d", 2, 3, 0, "search_complete_no_candidates"), ("r", "e", 2, 0, 0, "not_searched"), ("r", "f", 2, 2, 0, "search_complete_with_candidates"), ("r", "g", 2, 2, None, "other")]
     df = spark.createDataFrame(good + bad, "run_id string, item_id string, expected_shards int, searched_shards int, candidate_count int, status string")
     assert {r.item_id for r in validate.coverage_violations(df).collect()} == {"d", "e", "f", "g"}
+
+
+def test_power_of_effects_too_small_or_too_large(spark):
+    shift = spark.createDataFrame([("m", "min_k", "d", x) for x in (0.0, 1e-12, 1e-200, 3.0)], "model string, detector string, dataset string, cohens_d double")
+    aucs = spark.createDataFrame([("m", "min_k", a, x, 0.5) for a, x in ((0.7, 1e-6), (0.7, 0.0), (1.0, -0.3), (0.7, 0.69))], "model string, detector string, auc_baseline double, auc_shift double, r double")
+    q2 = spark.createDataFrame([("a", 0.01), ("b", -5.5e-15), ("c", 1e4)], "contrast string, did_pp double")
+    shift, aucs = (x.withColumn("detector", F.lit(pilot.PRIMARY_DETECTORS[0])) for x in (shift, aucs))
+    got = {(r.analysis, r.observed): r.required_items for r in pilot.power_recompute(shift, aucs, q2).collect()}
+    assert len(got) == 11 and {k for k, n in got.items() if n is None} == {("q1a", 0.0), ("q1a", 1e-12), ("q1a", 1e-200), ("q1b", 0.0), ("q2", 5.5e-15)}
+    assert got["q1a", 3.0] == 1 and got["q1b", 1e-6] > 1e9 and got["q1b", 0.3] == 4 and got["q2", 0.01] > 1e7 and got["q2", 1e4] == 2

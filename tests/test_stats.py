@@ -46,3 +46,11 @@ def test_mixed_model_recovers_the_interaction(true):
         correct = (r.random(len(eta)) < 1 / (1 + np.exp(-eta))).astype(float)
         errors.append(mixed.fit_glmm(item, model, precision.astype(float), contaminated, correct)["effects"]["precision:contaminated"] - true)
     assert all(abs(e) < 0.75 for e in errors) and abs(np.mean(errors)) < 0.5
+
+
+def test_items_for_effects_beyond_the_first_bounds():
+    assert math.isclose(S.items_for_did(0.01), S.items_for_did(10) * 1e6, rel_tol=1e-3) and S.items_for_did(0.01) > 1e7
+    assert S.items_for_delta_auc(0.7, 1e-6, 0.8) > 1e9
+    assert S.delta_auc_limit(0.7, S.items_for_delta_auc(0.7, 1e-6, 0.8), 0.8) <= 1e-6
+    assert S.items_for_did(1e4) == 2 and S.items_for_delta_auc(0.7, 0.9, 0.99) == S.items_for_delta_auc(1.0, 0.1, 0.8) == 4
+    assert S.auc_se(1 - 1e-16, 10**9) >= 0
